@@ -36,8 +36,8 @@ def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", tex
 
 
 def row_key(text_column: str = "text"):
-    """32 bits of the text, to tell apart rows that carry one id but different texts."""
-    return F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).bitwiseAND(0x7FFFFFFF)
+    """19 bits of the text, to tell apart rows that carry one id but different texts."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).bitwiseAND(0x7FFFF)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -7,11 +7,11 @@ Equal strings hold equal anchors at equal places. So it is enough to sort the su
 (about one byte in eighteen) and to carry with each what surrounds it:
 
 1. digit one, the anchor's 16 bytes: anchors of one document only drop out;
-2. digit two, all that any string around the anchor can reach: where an earlier document has the same, every string
-   around it repeats, and the pass is done with it;
+2. digit two, all bytes of the strings of which this gram is the anchor: where an earlier document has the same, all
+   of these strings repeat, and the pass is done with it;
 3. digit three, for one occurrence of each surrounding whose anchor has several: the 32 bytes that end with the
    anchor's gram, and those that begin with it. A string of 48 bytes or more holds one or the other;
-4. digit four, for those left: each string itself. Groups of equal digits are exactly the repeated strings; those
+4. digit four, for those left: each of the anchor's strings itself. Groups of equal digits are exactly the repeated strings; those
    whose document is not the group's first are removed.
 """
 
@@ -30,6 +30,9 @@ from annulus.llm.spans import digests, row_key, with_spans
 
 GRAM, HALF, WIDTH = 16, 32, 50
 BLOCK = 1 << 17
+STRINGS = ("string", "gram", "doc_id", "start")
+#: How a place is packed: 19 bits of the row's key, 32 of the anchor's byte, 6 each of far and near.
+PLACE = {"key": (44, 0x7FFFF), "byte": (12, 0xFFFFFFFF), "far": (6, 63), "near": (0, 63)}
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 #: A random number for each byte value, and for the padding around documents.
@@ -55,9 +58,11 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(out[: len(out) - (width - size)], out[width - size :]) if width > size else out
 
 
-def anchors(datas: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of texts of any lengths: the text's index, the byte, the gram's hash and the surrounding's hash, per anchor."""
-    grams, reach = width - GRAM + 1, width - GRAM  # grams in a string; bytes before an anchor that its strings reach
+def anchors(datas: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
+    """Of texts of any lengths, per anchor: the text's index, the byte, the gram's hash, the hash of all bytes of its
+    strings, how far before the anchor the first and the last of its strings start (a range without gaps), and the
+    hashes, of 32 bits each, of the 32 bytes that end with the gram (low) and that begin with it (high)."""
+    grams = width - GRAM + 1  # grams in a string
     pad, total = width + 64, sum(map(len, datas))
     joined = np.full(total + pad * (len(datas) + 1), 256, np.uint16)
     usable = np.zeros(len(joined), bool)
@@ -68,24 +73,31 @@ def anchors(datas: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, np.ndar
         joined[at : at + n] = np.frombuffer(data, np.uint8)
         usable[at : at + max(0, n - width + 1)] = True
         at += n + pad
-    h = {1: VALUES[joined]}
-    for m in (1, 2, 4, 8, 16, 32):
-        h[2 * m] = _doubled(h[m], m)
-    order = (h[GRAM] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    h = VALUES[joined]
+    for m in (1, 2, 4, 8):
+        h = _doubled(h, m)
+    gram = h
+    half = _doubled(gram, 16)
+    order = (gram >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
     least = _sliding(order, grams, np.minimum)
     least[~usable[: len(least)]] = 0
     chosen = _sliding(np.concatenate([np.zeros(grams - 1, np.uint32), least]), grams, np.maximum)
     pos = np.flatnonzero(order[: len(chosen)] == chosen)
-    gram = h[GRAM][pos]
-    # width + reach bytes, as hashes of 64 bytes and of what is left, in powers of two
-    ctx, left, off = np.zeros(len(pos), np.uint64), width + reach, -reach
-    for m in (64, 32, 16, 8, 4, 2, 1):
-        while left >= m:
-            ctx = (ctx ^ h[m][pos + off]) * MIX
-            ctx ^= ctx >> np.uint64(31)
-            left, off = left - m, off + m
+    owned = least[pos[:, None] - np.arange(grams)] == order[pos, None]  # by how far before the anchor a string starts
+    near = owned.argmax(axis=1)
+    far = near + owned.sum(axis=1) - 1
+    start, size = pos - far, width + far - near
+    ctx = far.astype(np.uint64) * ODD + size.astype(np.uint64)
+    for off in (np.zeros_like(size), (size - HALF) // 2, size - HALF):  # three halves cover up to 96 bytes
+        ctx = (ctx ^ half[start + off]) * MIX
+        ctx ^= ctx >> np.uint64(31)
     doc = np.searchsorted(begin, pos, side="right") - 1
-    return doc, pos - begin[doc] if len(pos) else pos, gram.view(np.int64), ctx.view(np.int64)
+    return doc, pos - begin[doc] if len(pos) else pos, gram[pos].view(np.int64), ctx.view(np.int64), far, near, _sides(half, pos)
+
+
+def _sides(half: np.ndarray, pos: np.ndarray) -> np.ndarray:
+    low = np.uint64(0xFFFFFFFF)
+    return ((half[pos] & low) << np.uint64(32) | half[pos + GRAM - HALF] & low).view(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -104,76 +116,45 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.
 
 
 def anchor_rows(docs: DataFrame, width: int, slim: bool) -> DataFrame:
-    """A row per anchor: gram and doc_id, and unless slim the surrounding and ``row key << 32 | byte``."""
+    """A row per anchor: gram and doc_id, and unless slim the surrounding and the place, packed as PLACE says."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, keys, datas in _blocks(batches):
-            doc, pos, gram, ctx = anchors(datas, width)
+            doc, pos, gram, ctx, far, near, sides = anchors(datas, width)
             if slim:
                 yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[doc])], ["gram", "doc_id"])
             else:
-                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[doc]), pa.array(ctx), pa.array((keys[doc] << 32) + pos)], ["gram", "doc_id", "ctx", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram), pa.array(ids[doc]), pa.array(ctx), pa.array((keys[doc] << 44) + (pos << 12) + (far << 6) + near), pa.array(sides)], ["gram", "doc_id", "ctx", "at", "sides"])
 
     named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-    return named.mapInArrow(run, "gram long, doc_id long" + ("" if slim else ", ctx long, at long"))
-
+    return named.mapInArrow(run, "gram long, doc_id long" + ("" if slim else ", ctx long, at long, sides long"))
 
-def _digits(docs: DataFrame) -> DataFrame:
-    """``docs(doc_id, text, reps)``: for each rep the 32 bytes that end with its gram (side 1) and that begin with it (side 2)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, reps in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("reps").to_pylist(), strict=True):
-                data = (text or "").encode("utf-8", "replace")
-                for r in reps:
-                    at = r["byte"]
-                    for side, start in ((1, at + GRAM - HALF), (2, at)):
-                        if start >= 0 and start + HALF <= len(data):
-                            rows.append((side, xxhash.xxh3_64_intdigest(data[start : start + HALF]), doc_id, r["gram"], r["ctx"]))
-                if len(rows) > 200_000:
-                    yield _digit_batch(rows)
-                    rows = []
-            yield _digit_batch(rows)
-
-    return docs.mapInArrow(run, "side int, digit long, doc_id long, gram long, ctx long")
-
-
-def _digit_batch(rows: list[tuple]) -> pa.RecordBatch:
-    side, digit, doc_id, gram, ctx = zip(*rows, strict=True) if rows else [()] * 5
-    cols = [pa.array(side, pa.int32()), pa.array(np.array(digit, np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in (doc_id, gram, ctx))]
-    return pa.RecordBatch.from_arrays(cols, ["side", "digit", "doc_id", "gram", "ctx"])
+def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
+    """Rows of integers; the first is an unsigned hash."""
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in cols[1:])], list(names))
 
 
 def _strings(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(doc_id, text, reps)``: the strings around each rep on the sides named in it, as 128 bits, with their offset."""
-    reach = width - GRAM
+    """``docs(doc_id, key, text, reps)``: the strings of each rep on the sides named in it, with ``key << 32 | start``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [])
-            hashed = []
-            for doc_id, text, reps in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), batch.column("reps").to_pylist(), strict=True):
+            rows = []
+            for doc_id, key, text, reps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "reps")), strict=True):
                 data = (text or "").encode("utf-8", "replace")
                 for r in reps:
-                    at, sides = r["byte"], r["sides"]
-                    for back in range(0 if sides & 2 else HALF - GRAM, (reach if sides & 1 else HALF - GRAM - 1) + 1):
-                        if 0 <= at - back <= len(data) - width:
-                            hashed.append(xxhash.xxh3_128_digest(data[at - back : at - back + width]))
-                            for col, v in zip(out, (doc_id, r["gram"], r["ctx"], back), strict=True):
-                                col.append(v)
-                if len(hashed) > 200_000:
-                    yield _string_batch(hashed, out)
-                    hashed, out = [], ([], [], [], [])
-            yield _string_batch(hashed, out)
-
-    return docs.mapInArrow(run, "s1 long, s2 long, doc_id long, gram long, ctx long, back int")
-
+                    at, sides, gram = r["byte"], r["sides"], r["gram"]
+                    last = r["near"] if sides & 2 else max(r["near"], HALF - GRAM)
+                    for start in range(at - (r["far"] if sides & 1 else min(r["far"], HALF - GRAM - 1)), at - last + 1):
+                        rows.append((xxhash.xxh3_64_intdigest(data[start : start + width]), gram, doc_id, key << 32 | start))
+                if len(rows) > 200_000:
+                    yield _batch(rows, STRINGS)
+                    rows = []
+            yield _batch(rows, STRINGS)
 
-def _string_batch(hashed: list[bytes], out: tuple[list, ...]) -> pa.RecordBatch:
-    both = np.frombuffer(b"".join(hashed), np.int64).reshape(-1, 2)
-    cols = [pa.array(both[:, 0].copy(), pa.int64()), pa.array(both[:, 1].copy(), pa.int64()), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.int32())]
-    return pa.RecordBatch.from_arrays(cols, ["s1", "s2", "doc_id", "gram", "ctx", "back"])
+    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in STRINGS))
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -181,44 +162,46 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     if not 48 <= width <= 96:
         raise ValueError("width must be from 48 to 96 bytes")
     scratch = Scratch(docs.sparkSession, "suffixes")
-    low = F.lit(0xFFFFFFFF)
     grams = anchor_rows(docs, width, True).groupBy("gram").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram")
     grams = scratch.keep(grams, "grams")
     found = scratch.keep(anchor_rows(docs, width, False).join(grams.hint("shuffle_hash"), "gram"), "anchors")
     scratch.drop("grams")
 
     around = scratch.keep(found.groupBy("gram", "ctx").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), "around")
-    byte = F.col("at").bitwiseAND(low)
-    placed = found.select("gram", "ctx", "doc_id", F.shiftright("at", 32).alias("key"), byte.alias("byte"))
-    later = placed.join(around.where("lo < hi").select("gram", "ctx", "lo"), ["gram", "ctx"]).where("doc_id > lo")
-    whole = later.select("doc_id", "key", F.greatest(F.col("byte") - (width - GRAM), F.lit(0)).alias("s"), (F.col("byte") + width).alias("e"))
+    place = {n: F.shiftright("at", shift).bitwiseAND(F.lit(mask).cast("long")).alias(n) for n, (shift, mask) in PLACE.items()}
+    later = found.join(around.where("lo < hi").select("gram", "ctx", "lo"), ["gram", "ctx"]).where("doc_id > lo")
+    whole = later.select("doc_id", *place.values())
+    whole = scratch.keep(whole.select("doc_id", "key", (F.shiftleft(F.col("byte") - F.col("far"), 32) + F.col("byte") - F.col("near") + width).alias("span")), "whole")
 
     several = scratch.keep(around.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("hi").alias("z")).where("n > 1 and a < z").select("gram"), "several")
     mixed = scratch.keep(around.join(several, "gram").select("gram", "ctx", "lo"), "mixed")
-    firsts = placed.join(mixed, ["gram", "ctx"]).where("doc_id = lo").drop("lo")
-    firsts = scratch.keep(firsts, "firsts")
-    reps = firsts.groupBy("gram", "ctx", "doc_id").agg(F.min(F.struct("key", "byte")).alias("m")).select("gram", "ctx", "doc_id", "m.key", "m.byte")
-    reps = scratch.keep(reps, "reps")
+    scratch.drop("several", "around")
+    firsts = scratch.keep(found.join(mixed, ["gram", "ctx"]).where("doc_id = lo").select("gram", "doc_id", "at", "sides"), "firsts")
+    scratch.drop("anchors", "mixed")
+    # 1: the low digit, of use if a string starts 16 bytes or more before its anchor; 2: the high one, if one starts later
+    low, high = F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftright("sides", 32)
+    each = F.array_compact(
+        F.array(
+            F.when(place["far"] >= HALF - GRAM, F.struct(F.lit(1).alias("side"), low.alias("digit"))),
+            F.when(place["near"] < HALF - GRAM, F.struct(F.lit(2).alias("side"), high.alias("digit"))),
+        )
+    )
+    digits = firsts.select("gram", "doc_id", "at", F.explode(each).alias("d")).select("gram", "doc_id", "at", "d.side", "d.digit")
+    common = digits.groupBy("gram", "side", "digit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram", "side", "digit")
+    common = scratch.keep(common, "common")
+    sided = digits.join(common, ["gram", "side", "digit"]).groupBy("doc_id", "gram", "at").agg(F.bit_or("side").alias("sides"))
+    sided = sided.select("doc_id", "gram", "sides", *place.values())
+    by_doc = scratch.keep(sided.groupBy("doc_id", "key").agg(F.collect_list(F.struct("gram", "byte", "far", "near", "sides")).alias("reps")), "by_doc")
+    scratch.drop("firsts", "common")
     texts = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
-
-    def with_texts(some: DataFrame, *names: str) -> DataFrame:
-        grouped = scratch.keep(some.groupBy("doc_id", "key").agg(F.collect_list(F.struct(*names)).alias("reps")), "by_doc_" + names[-1])
-        return texts.join(grouped, ["doc_id", "key"]).select("doc_id", "text", "reps")
-
-    digits = scratch.keep(_digits(with_texts(reps, "gram", "ctx", "byte")), "digits")
-    common = scratch.keep(digits.groupBy("side", "digit").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("side", "digit"), "common")
-    sides = digits.join(common, ["side", "digit"]).groupBy("gram", "ctx", "doc_id").agg(F.bit_or("side").alias("sides"))
-    sided = scratch.keep(reps.join(sides, ["gram", "ctx", "doc_id"]), "sided")
-    scratch.drop("digits", "common", "by_doc_byte")
-    strings = scratch.keep(_strings(with_texts(sided, "gram", "ctx", "byte", "sides"), width), "strings")
-    first = scratch.keep(strings.groupBy("s1", "s2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("s1", "s2", "lo"), "first")
-    lost = strings.join(first, ["s1", "s2"]).where("doc_id > lo").groupBy("gram", "ctx", "doc_id").agg(F.collect_set("back").alias("backs"))
-    parts = firsts.join(lost, ["gram", "ctx", "doc_id"]).select("doc_id", "key", "byte", F.explode("backs").alias("back"))
-    parts = parts.select("doc_id", "key", (F.col("byte") - F.col("back")).alias("s"), (F.col("byte") - F.col("back") + width).alias("e"))
-
-    spans = whole.unionByName(parts).select("doc_id", "key", (F.shiftleft("s", 32) + F.col("e")).alias("span"))
-    spans = scratch.keep(spans.groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")), "spans")
-    scratch.drop("anchors", "around", "several", "mixed", "firsts", "reps", "sided", "by_doc_sides", "strings", "first")
+    strings = scratch.keep(_strings(texts.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "reps"), width), "strings")
+    scratch.drop("by_doc")
+    first = scratch.keep(strings.groupBy("gram", "string").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram", "string", "lo"), "first")
+    start = F.col("start").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    parts = strings.join(first, ["gram", "string"]).where("doc_id > lo").select("doc_id", F.shiftright("start", 32).alias("key"), (F.shiftleft(start, 32) + start + width).alias("span"))
+
+    spans = scratch.keep(whole.unionByName(parts).groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")), "spans")
+    scratch.drop("whole", "strings", "first")
     return spans
 
 
@@ -230,8 +213,4 @@ def suffix_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """
     slim = docs.select("doc_id", "text")
     spans = repeated_spans(slim, width)
-    # A span may reach past the end of a text: cut it there.
-    ends = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
-    low = F.lit(0xFFFFFFFF)
-    joined = with_spans(slim, spans).withColumn("__spans", F.transform("__spans", lambda x: x - x.bitwiseAND(low) + F.least(x.bitwiseAND(low), ends.cast("long"))))
-    return digests(joined)
+    return digests(with_spans(slim, spans))
