@@ -30,7 +30,7 @@ from annulus.llm.spans import digests, row_key, with_spans
 
 GRAM, HALF, WIDTH = 16, 32, 50
 BLOCK = 1 << 17
-STRINGS = ("string", "gram", "doc_id", "start")
+STRINGS = {"string": pa.int64(), "gram": pa.int64(), "doc_id": pa.int64(), "starts": pa.list_(pa.int64())}
 #: How a place is packed: 19 bits of the row's key, 32 of the anchor's byte, 6 each of far and near.
 PLACE = {"key": (44, 0x7FFFF), "byte": (12, 0xFFFFFFFF), "far": (6, 63), "near": (0, 63)}
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -130,31 +130,35 @@ def anchor_rows(docs: DataFrame, width: int, slim: bool) -> DataFrame:
     return named.mapInArrow(run, "gram long, doc_id long" + ("" if slim else ", ctx long, at long, sides long"))
 
 
-def _batch(rows: list[tuple], names: tuple[str, ...]) -> pa.RecordBatch:
-    """Rows of integers; the first is an unsigned hash."""
-    cols = list(zip(*rows, strict=True)) or [()] * len(names)
-    return pa.RecordBatch.from_arrays([pa.array(np.array(cols[0], np.uint64).view(np.int64)), *(pa.array(c, pa.int64()) for c in cols[1:])], list(names))
+def _batch(rows: list[tuple], types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    """The first column is an unsigned hash."""
+    cols = list(zip(*rows, strict=True)) or [()] * len(types)
+    first = pa.array(np.array(cols[0], np.uint64).view(np.int64))
+    return pa.RecordBatch.from_arrays([first, *(pa.array(c, t) for c, t in list(zip(cols, types.values(), strict=True))[1:])], list(types))
 
 
 def _strings(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(doc_id, key, text, reps)``: the strings of each rep on the sides named in it, with ``key << 32 | start``."""
+    """``docs(doc_id, key, text, reps)``: the strings of each rep on the sides named in it, with each ``key << 32 | start``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for doc_id, key, text, reps in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "key", "text", "reps")), strict=True):
                 data = (text or "").encode("utf-8", "replace")
+                alike: dict[tuple, list[int]] = {}  # a document may repeat itself: its equal reps are one
                 for r in reps:
-                    at, sides, gram = r["byte"], r["sides"], r["gram"]
-                    last = r["near"] if sides & 2 else max(r["near"], HALF - GRAM)
-                    for start in range(at - (r["far"] if sides & 1 else min(r["far"], HALF - GRAM - 1)), at - last + 1):
-                        rows.append((xxhash.xxh3_64_intdigest(data[start : start + width]), gram, doc_id, key << 32 | start))
+                    at, far, near = r["byte"], r["far"], r["near"]
+                    alike.setdefault((r["gram"], far, near, r["sides"], data[at - far : at - near + width]), []).append(key << 32 | at)
+                for (gram, far, near, sides, around), places in alike.items():
+                    last = near if sides & 2 else max(near, HALF - GRAM)
+                    for back in range(last, (far if sides & 1 else min(far, HALF - GRAM - 1)) + 1):
+                        rows.append((xxhash.xxh3_64_intdigest(around[far - back : far - back + width]), gram, doc_id, [p - back for p in places]))
                 if len(rows) > 200_000:
                     yield _batch(rows, STRINGS)
                     rows = []
             yield _batch(rows, STRINGS)
 
-    return docs.mapInArrow(run, ", ".join(f"{n} long" for n in STRINGS))
+    return docs.mapInArrow(run, "string long, gram long, doc_id long, starts array<long>")
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -197,8 +201,9 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     strings = scratch.keep(_strings(texts.join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "reps"), width), "strings")
     scratch.drop("by_doc")
     first = scratch.keep(strings.groupBy("gram", "string").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("gram", "string", "lo"), "first")
-    start = F.col("start").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
-    parts = strings.join(first, ["gram", "string"]).where("doc_id > lo").select("doc_id", F.shiftright("start", 32).alias("key"), (F.shiftleft(start, 32) + start + width).alias("span"))
+    lost = strings.join(first, ["gram", "string"]).where("doc_id > lo").select("doc_id", F.explode("starts").alias("at"))
+    start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    parts = lost.select("doc_id", F.shiftright("at", 32).alias("key"), (F.shiftleft(start, 32) + start + width).alias("span"))
 
     spans = scratch.keep(whole.unionByName(parts).groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")), "spans")
     scratch.drop("whole", "strings", "first")
