@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-PLANS = ("detection",)
+PLANS = ("detection", "rings", "joins")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:
