@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from annulus.llm.common import Scratch
 from annulus.llm.pretokens import split
 
-CAPACITY, SMALL, GROUPS, BUCKET, CACHE = 2048, 256, 1024, 1000, 700_000
+CAPACITY, SMALL, GROUPS, BUCKET, CACHE = 2048, 256, 1024, 250, 700_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 

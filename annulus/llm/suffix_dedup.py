@@ -61,7 +61,7 @@ def _sliding(values: np.ndarray, width: int, pick) -> np.ndarray:
 def anchors(datas: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
     """Of texts of any lengths, per anchor: the text's index, the byte, the gram's hash, the hash of all bytes of its
     strings, how far before the anchor the first and the last of its strings start (a range without gaps), and the
-    hashes, of 32 bits each, of the 32 bytes that end with the gram (low) and that begin with it (high)."""
+    hashes, of 16 bits each, of the 32 bytes that end with the gram (low) and that begin with it (high)."""
     grams = width - GRAM + 1  # grams in a string
     pad, total = width + 64, sum(map(len, datas))
     joined = np.full(total + pad * (len(datas) + 1), 256, np.uint16)
@@ -96,8 +96,8 @@ def anchors(datas: list[bytes], width: int = WIDTH) -> tuple[np.ndarray, ...]:
 
 
 def _sides(half: np.ndarray, pos: np.ndarray) -> np.ndarray:
-    low = np.uint64(0xFFFFFFFF)
-    return ((half[pos] & low) << np.uint64(32) | half[pos + GRAM - HALF] & low).view(np.int64)
+    low = np.uint64(0xFFFF)
+    return ((half[pos] & low) << np.uint64(16) | half[pos + GRAM - HALF] & low).view(np.int64)
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     firsts = scratch.keep(found.join(mixed, ["gram", "ctx"]).where("doc_id = lo").select("gram", "doc_id", "at", "sides"), "firsts")
     scratch.drop("anchors", "mixed")
     # 1: the low digit, of use if a string starts 16 bytes or more before its anchor; 2: the high one, if one starts later
-    low, high = F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF).cast("long")), F.shiftright("sides", 32)
+    low, high = F.col("sides").bitwiseAND(F.lit(0xFFFF).cast("long")), F.shiftright("sides", 16)
     each = F.array_compact(
         F.array(
             F.when(place["far"] >= HALF - GRAM, F.struct(F.lit(1).alias("side"), low.alias("digit"))),
