@@ -8,6 +8,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -66,3 +67,14 @@ def id_hash(id_column: str = "doc_id") -> Column:
 def text_key(text_column: str = "text") -> Column:
     """Tells apart rows that carry one id but different texts."""
     return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def first_by_hash(rows: DataFrame, key: str, n: int, id_column: str = "doc_id", buckets: int = 64) -> DataFrame:
+    """n rows at most for each value of key, with ``r`` from 1: the first by a hash of the id.
+
+    Buckets of the hash are cut to n first, so the last window gets buckets * n rows of a value at most.
+    """
+    order = [F.xxhash64(id_column), F.col(id_column)]
+    dealt = rows.withColumn("_b", F.pmod(F.xxhash64(id_column, F.lit(1)), F.lit(buckets)))
+    few = dealt.withColumn("r", F.row_number().over(W.partitionBy(key, "_b").orderBy(*order))).where(F.col("r") <= n).drop("r", "_b")
+    return few.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("r") <= n)

@@ -17,9 +17,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from annulus.llm.common import id_hash
+from annulus.llm.common import first_by_hash, id_hash
 
 ROWS, ROW_BYTES, SHARDS, PART, LEVEL = 512, 512, 4, 1024, 3
 SHORT, SCALE, MARGIN, UNKNOWN = 400, 6.0, 0.02, "und"
@@ -40,8 +39,7 @@ def fit(docs: DataFrame, training: Column, rows: int = ROWS, row_bytes: int = RO
     without texts.
     """
     known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 200))
-    order = W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = known.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).where(F.col("r") <= rows)
+    picked = first_by_hash(known.select("doc_id", "lang"), "lang", rows)
     ids = F.broadcast(picked.select("doc_id", F.col("lang").alias("of"), "r"))  # rows for each language, at most
     found = known.join(ids, (known["doc_id"] == ids["doc_id"]) & (known["lang"] == ids["of"]))
     out: dict[str, list[tuple]] = {}
