@@ -69,7 +69,7 @@ def ring_rows_to_polygons(rings: DataFrame) -> DataFrame:
 
 def split_rings(polygons: DataFrame) -> DataFrame:
     """One row for each ring, in the shape that ring_rows_to_polygons reads."""
-    rings = polygons.select("*", F.posexplode(F.concat(F.array("exterior"), "holes")).alias("ring_index", "ring")).drop("exterior", "holes")
+    rings = polygons.select("*", F.posexplode(F.concat(F.array("exterior"), "holes")).alias("ring_index", "ring")).drop("exterior", "holes", "segmentation", "is_hole")
     return rings.select("*", (F.col("ring_index") > 0).alias("is_hole"), F.array(R.flat(F.col("ring"))).alias("segmentation")).drop("ring")
 
 
