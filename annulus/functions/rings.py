@@ -222,4 +222,16 @@ def polis(rings_a: Column, rings_b: Column) -> Column:
     return F.when((F.size(rings_a) > 0) & (F.size(rings_b) > 0), (one_way(rings_a, rings_b) + one_way(rings_b, rings_a)) / 2)
 
 
+def hausdorff(a: Column, b: Column, share: float = 1.0) -> Column:
+    """The greater of both directed distances between point arrays, each the quantile ``share`` of nearest ones. Null for none."""
+
+    def one_way(p, q):
+        near = F.array_sort(F.transform(p, lambda v: F.array_min(F.transform(q, lambda w: F.sqrt((v["x"] - w["x"]) * (v["x"] - w["x"]) + (v["y"] - w["y"]) * (v["y"] - w["y"]))))))
+        at = (F.size(p) - 1) * F.lit(share)
+        low, high = F.get(near, F.floor(at).cast("int")), F.get(near, F.ceil(at).cast("int"))
+        return low + (high - low) * (at - F.floor(at))
+
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.greatest(one_way(a, b), one_way(b, a)))
+
+
 FULL_TURN = 2 * math.pi

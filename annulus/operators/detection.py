@@ -34,7 +34,8 @@ def box_area(prefix: str) -> Column:
 def iou_pairs(gt: DataFrame, pred: DataFrame) -> DataFrame:
     """image_id, ann_id, pred_id, score, inter, g_area, p_area, iou of pairs that overlap."""
     pairs = overlapping(gt, pred).withColumns({"inter": shared_area(), "g_area": box_area("g_"), "p_area": box_area("p_")})
-    iou = F.col("inter").cast("double") / (F.col("g_area") + F.col("p_area") - F.col("inter"))
+    # a condition on iou may be evaluated before the overlap condition, on pairs whose divisor is 0
+    iou = F.try_divide(F.col("inter").cast("double"), F.col("g_area") + F.col("p_area") - F.col("inter"))
     return pairs.withColumn("iou", iou).withColumnsRenamed({"g_ann_id": "ann_id", "p_pred_id": "pred_id", "p_score": "score", "g_has_hole": "g_hole", "p_has_hole": "p_hole"})
 
 
