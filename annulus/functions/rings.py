@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,15 +225,23 @@ def polis(rings_a: Column, rings_b: Column) -> Column:
 
 
 def hausdorff(a: Column, b: Column, share: float = 1.0) -> Column:
-    """The greater of both directed distances between point arrays, each the quantile ``share`` of nearest ones. Null for none."""
+    """The greater of both directed distances between point arrays, each the quantile ``share`` of nearest ones. Null for none.
 
-    def one_way(p, q):
-        near = F.array_sort(F.transform(p, lambda v: F.array_min(F.transform(q, lambda w: F.sqrt((v["x"] - w["x"]) * (v["x"] - w["x"]) + (v["y"] - w["y"]) * (v["y"] - w["y"]))))))
-        at = (F.size(p) - 1) * F.lit(share)
-        low, high = F.get(near, F.floor(at).cast("int")), F.get(near, F.ceil(at).cast("int"))
-        return low + (high - low) * (at - F.floor(at))
+    An Arrow-batched kernel: nested array functions run interpreted, for each of the size(a) * size(b) distances.
+    """
 
-    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.greatest(one_way(a, b), one_way(b, a)))
+    @F.pandas_udf("double")
+    def kernel(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        def pair(px, py, qx, qy):
+            if px is None or qx is None or not len(px) or not len(qx):
+                return None
+            d = np.hypot(np.subtract.outer(px, qx), np.subtract.outer(py, qy))
+            return max(np.quantile(d.min(axis=1), share), np.quantile(d.min(axis=0), share))
+
+        return pd.Series([pair(*v) for v in zip(ax, ay, bx, by, strict=True)], dtype="float64")
+
+    side = lambda ring, k: F.transform(ring, lambda p: p[k])
+    return kernel(side(a, "x"), side(a, "y"), side(b, "x"), side(b, "y"))
 
 
 FULL_TURN = 2 * math.pi

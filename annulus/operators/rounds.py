@@ -137,13 +137,29 @@ def optimal_match(pairs: DataFrame) -> DataFrame:
     size = grouped.withColumn("n", F.count("*").over(W.partitionBy("group")))
     lone, rest = size.where("n = 1").select("ann_id", "pred_id", "iou"), size.where("n > 1").select("group", "ann_id", "pred_id", "iou")
 
-    def best(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["ann_id", "pred_id"])
-        a, row = np.unique(rows.ann_id.to_numpy(), return_inverse=True)
-        p, col = np.unique(rows.pred_id.to_numpy(), return_inverse=True)
-        gain = np.zeros((len(a), len(p)))
-        gain[row, col] = rows.iou.to_numpy()
-        taken = [(a[i], p[j], gain[i, j]) for i, j in assign(gain) if gain[i, j] > 0]
+    def solved(rows: pd.DataFrame) -> pd.DataFrame:
+        group, taken = rows["group"].to_numpy(), []
+        ann, pred, iou = (rows[c].to_numpy() for c in ("ann_id", "pred_id", "iou"))
+        for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
+            a, row = np.unique(ann[part], return_inverse=True)
+            p, col = np.unique(pred[part], return_inverse=True)
+            gain = np.zeros((len(a), len(p)))
+            gain[row, col] = iou[part]
+            taken += [(a[i], p[j], gain[i, j]) for i, j in assign(gain) if gain[i, j] > 0]
         return pd.DataFrame(taken, columns=["ann_id", "pred_id", "iou"])
 
-    return lone.unionByName(rest.groupBy("group").applyInPandas(best, "ann_id long, pred_id long, iou double"))
+    def best(batches):
+        """Rows come sorted by group; a group that a batch cuts waits for the next one."""
+        waiting = None
+        for rows in batches:
+            rows = rows if waiting is None else pd.concat([waiting, rows], ignore_index=True)
+            if len(rows):
+                last = rows["group"] == rows["group"].iloc[-1]
+                waiting = rows[last]
+                if not last.all():
+                    yield solved(rows[~last])
+        if waiting is not None:
+            yield solved(waiting)
+
+    dealt = rest.repartition("group").sortWithinPartitions("group")
+    return lone.unionByName(dealt.mapInPandas(best, "ann_id long, pred_id long, iou double"))
