@@ -200,6 +200,35 @@ def convex_hull_size(ring: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(before.alias("p"), ring.alias("v"), rotated(ring).alias("n")), lambda t: cross(t) * way > 0))
 
 
+def edge_lengths(ring: Column) -> Column:
+    return F.transform(edges(ring), lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2)))
+
+
+def edge_angles(ring: Column) -> Column:
+    """Direction of each edge in radians, from 0 to a full turn."""
+    return F.transform(edges(ring), lambda e: F.pmod(F.atan2(e["b"]["y"] - e["a"]["y"], e["b"]["x"] - e["a"]["x"]) + FULL_TURN, F.lit(FULL_TURN)))
+
+
+def densify(ring: Column, gap: float) -> Column:
+    """The ring with points put in at equal steps, so that no two neighbours are more than ``gap`` apart."""
+
+    def steps(e):
+        dx, dy = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        n = F.greatest(F.ceil(F.sqrt(dx * dx + dy * dy) / gap), F.lit(1))
+        return F.transform(F.sequence(F.lit(0), n.cast("int") - 1), lambda i: point(e["a"]["x"] + dx * i / n, e["a"]["y"] + dy * i / n))
+
+    return F.flatten(F.transform(edges(ring), steps))
+
+
+def least_shift_distance(a: Column, b: Column) -> Column:
+    """Least mean distance of vertices over all cyclic shifts of b; the shorter ring's last vertex is repeated. Null for none."""
+    n = F.greatest(F.size(a), F.size(b))
+    filled = lambda r: F.concat(r, F.array_repeat(F.element_at(r, -1), n - F.size(r)))
+    away = lambda p, q: F.sqrt(F.pow(p["x"] - q["x"], 2) + F.pow(p["y"] - q["y"], 2))
+    shifted = lambda k: F.zip_with(filled(a), rotated(filled(b), k), away)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), F.array_min(F.transform(F.sequence(F.lit(0), n - 1), lambda k: total(shifted(k)) / n)))
+
+
 def city_of(name: Column) -> Column:
     """A tile's city: its stem without trailing digits."""
     return F.regexp_replace(F.regexp_replace(name, r"\.[^.]*$", ""), r"\d+$", "")

@@ -8,7 +8,7 @@ from annulus.functions import rings as R
 from annulus.operators import detection as D
 from annulus.plans.detection import MATCH_SQL, matches
 from annulus.registry import query
-from annulus.sources.boxes import INSET, SQL, gt_boxes, polygons
+from annulus.sources.boxes import INSET, SQL, gt_boxes, polygons, pred_boxes
 
 C = F.col
 
@@ -125,6 +125,19 @@ def cities(spark, sf_dir):
     return named.groupBy("city").agg(F.count("*").alias("n"))
 
 
+@query(f"""{SQL}, gc AS {CORNERS}, pc AS (SELECT pred_id, unnest([0, 1, 2, 3])::INT AS j, unnest([x0, x1, x1, x0])::DOUBLE AS u, unnest([y0, y0, y1, y1])::DOUBLE AS v FROM pred),
+d AS (SELECT ann_id, (j - idx + 4) % 4 AS s, avg(sqrt((x-u)*(x-u) + (y-v)*(y-v))) AS d FROM gc JOIN pc ON pred_id = ann_id GROUP BY ALL), m AS (SELECT ann_id, min(d) AS d FROM d GROUP BY ann_id)
+SELECT ann_id, (x1 - x0)::DOUBLE AS first_edge, round(1.5::DOUBLE * pi(), 9) AS last_angle, (2 * ceil((x1 - x0) / 5.0::DOUBLE) + 2 * ceil((y1 - y0) / 5.0::DOUBLE))::INT AS points, round(d, 9) AS shifted FROM gt JOIN m USING (ann_id)""")
+def edge_geometry(spark, sf_dir):
+    """Edges of rings, points that leave no gap over 5, and the distance to the prediction's ring, begun anywhere."""
+    pred = polygons(pred_boxes(spark, sf_dir)).select(C("pred_id").alias("ann_id"), R.rotated(C("exterior"), 3).alias("other"))
+    ring = C("exterior")
+    return gt_rings(spark, sf_dir).join(pred, "ann_id").select(
+        "ann_id", F.element_at(R.edge_lengths(ring), 1).alias("first_edge"), F.round(F.element_at(R.edge_angles(ring), -1), 9).alias("last_angle"),
+        F.size(R.densify(ring, 5.0)).alias("points"), F.round(R.least_shift_distance(ring, C("other")), 9).alias("shifted"),
+    )
+
+
 def _ring_points(alias: str, hole: str) -> str:
     outer = f"SELECT {alias}.id, unnest([x0, x1, x1, x0])::DOUBLE AS x, unnest([y0, y0, y1, y1])::DOUBLE AS y, unnest([x1, x1, x0, x0])::DOUBLE AS nx, unnest([y0, y1, y1, y0])::DOUBLE AS ny FROM {alias}"
     i = INSET

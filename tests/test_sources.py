@@ -38,3 +38,18 @@ def test_ring_functions(spark):
         F.size(R.sample_to_n(F.col("r"), 2)).alias("two"), R.detokenise(R.tokenise(F.col("r"), 4, 4, 5, 12), 4, 4, 5).alias("back"), F.col("r").alias("r"), R.is_closed(R.close_ring(F.col("r"))).alias("c"),
     ).first()
     assert (out.n, out.a, out.p, out.k, out.two, out.c) == (4, 16.0, 16.0, 4, 2, True) and out.back == out.r
+
+
+def test_edge_functions_of_odd_rings(spark):
+    from pyspark.sql import functions as F
+
+    from annulus.functions import rings as R
+
+    kind = "array<struct<x:double,y:double>>"
+    rows = [(1, None, None), (2, [], [(0.0, 0.0)]), (3, [(0.0, 0.0), (4.0, 0.0), (0.0, 3.0)], [(4.0, 0.0), (0.0, 3.0), (0.0, 0.0)]), (4, [(0.0, 0.0), (2.0, 0.0)], [(0.0, 0.0), (2.0, 0.0), (2.0, 0.0)])]
+    df = spark.createDataFrame(rows, f"id int, a {kind}, b {kind}")
+    a, b = F.col("a"), F.col("b")
+    got = {r.id: r for r in df.select("id", R.edge_lengths(a).alias("n"), F.size(R.densify(a, 2.0)).alias("k"), R.least_shift_distance(a, b).alias("d")).collect()}
+    assert (got[1].n, got[1].d) == (None, None) and (got[2].n, got[2].d) == ([], None)
+    assert got[3].n == [4.0, 5.0, 3.0] and got[3].k == 2 + 3 + 2 and got[3].d == 0
+    assert got[4].d == 0
