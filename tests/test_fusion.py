@@ -1,4 +1,4 @@
-"""The slab sweep on hand-made and random polygons, boundary masks cell by cell, ring roles by brute force."""
+"""The slab sweep on hand-made and random polygons, boundary masks cell by cell, and the totals of ring roles."""
 
 import itertools
 
