@@ -1,9 +1,10 @@
 """Quality by Bradley-Terry ranking: documents are scored so that preferred ones beat others in pairs.
 
 A preference pair is a labelled good and a labelled bad document. The weights of a document's features are fitted by
-logistic loss on the differences of the pairs' features, with a ridge term. The threshold is the quantile of the
-training documents' scores at the share of bad ones among them; a score is the logistic of the distance to it.
-Labelled rows come to the driver as features only, at most ``rows`` for each label, by the order of a hash of the id.
+logistic loss on the differences of the pairs' features, with a ridge term. The weights are fitted on a sample: features
+of at most ``rows`` labelled rows for each label come to the driver, by the order of a hash of the id. The threshold is
+the exact quantile of the scores of all labelled training documents at the share of bad ones among all of them, at
+every size; a score is the logistic of the distance to it.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm.common import first_by_hash
+from annulus.llm.common import Scratch, first_by_hash
 
-ROWS, PAIRS, RIDGE, SEED = 3000, 30_000, 1e-3, 9
+ROWS, PAIRS, RIDGE, SEED, BUCKETS = 3000, 30_000, 1e-3, 9, 4096
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
 FEATURES = 20
 
@@ -61,7 +62,7 @@ def with_features(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: float = RIDGE) -> dict[str, np.ndarray | float]:
-    """Weights, means, scales and threshold from the features of good and bad documents."""
+    """Weights, means and scales from the features of good and bad documents."""
     both = np.concatenate([good, bad])
     mean, scale = both.mean(0), both.std(0)
     scale[scale < 1e-9] = 1.0
@@ -77,21 +78,63 @@ def fit_pairs(good: np.ndarray, bad: np.ndarray, pairs: int = PAIRS, ridge: floa
         w -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
         if np.abs(step).max() < 1e-6:
             break
-    scores = np.concatenate([g, b]) @ w
-    return {"w": w, "mean": mean, "scale": scale, "threshold": float(np.quantile(scores, len(b) / len(both)))}
+    return {"w": w, "mean": mean, "scale": scale}
+
+
+def raw_scores(x: np.ndarray, model: dict) -> np.ndarray:
+    """A row of features a document -> what its score is before the threshold; row by row, so that batches don't matter."""
+    return ((x - model["mean"]) / model["scale"] * model["w"]).sum(axis=1)
+
+
+def ranked_value(values: DataFrame, rank: int) -> float:
+    """The value of that rank (from 0) of ``values(raw double)``: the bucket that holds it is cut up until one value is left."""
+    lo, hi = values.agg(F.min("raw"), F.max("raw")).first()
+    while lo < hi:
+        at = F.least(F.floor((F.col("raw") - lo) / ((hi - lo) / BUCKETS)), F.lit(BUCKETS - 1))
+        own = values.where(F.col("raw").between(lo, hi)).groupBy(at.alias("at")).agg(F.count("*").alias("n"), F.min("raw").alias("lo"), F.max("raw").alias("hi"))
+        for x in sorted(own.collect()):  # BUCKETS rows at most
+            if rank < x.n:
+                lo, hi = x.lo, x.hi
+                break
+            rank -= x.n
+    return lo
+
+
+def threshold(found: DataFrame, model: dict, bad: int, total: int) -> float:
+    """The quantile of the scores of ``found(features)`` at bad / total, between two ranks as numpy's."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = np.array(batch.column("features").to_pylist()).reshape(-1, FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array(raw_scores(x, shared.value))], ["raw"])
+
+    values = Scratch(found.sparkSession, "quality").keep(found.select("features").mapInArrow(run, "raw double"), "raw")
+    place = (total - 1) * bad / total
+    low = int(place)
+    a, b = ranked_value(values, low), ranked_value(values, min(low + 1, total - 1))
+    return a + (b - a) * (place - low)
 
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, rows: int = ROWS) -> dict | None:
     """Model from the training rows of docs with a label; None where one of the labels has no row.
 
-    A doc_id with several labels counts as its least. Ids are picked before any text is read.
+    A doc_id with several labels counts as its least, one with several texts as the least of their features. Texts are
+    not shuffled: features are made where the texts are, then joined with the labels.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = first_by_hash(known, "quality", rows).drop("r")  # 2 * rows at most
-    chosen = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    found = with_features(chosen, "doc_id", "quality").groupBy("doc_id").agg(F.first("quality"), F.min("features")).collect()
-    sides = [np.array([x[2] for x in found if x[1] == q]) for q in (1, 0)]
-    return fit_pairs(*sides) if all(map(len, sides)) else None
+    made = with_features(docs, "doc_id").join(known, "doc_id")
+    scratch = Scratch(docs.sparkSession, "quality")
+    found = scratch.keep(made.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features")), "features")
+    counts = {x.quality: x.n for x in found.groupBy("quality").agg(F.count("*").alias("n")).collect()}
+    if len(counts) < 2:
+        return None
+    picked = first_by_hash(found.select("doc_id", "quality"), "quality", rows).select("doc_id")  # 2 * rows at most
+    chosen = found.join(F.broadcast(picked), "doc_id").orderBy("doc_id").collect()
+    model = fit_pairs(*[np.array([x.features for x in chosen if x.quality == q]) for q in (1, 0)])
+    model["threshold"] = threshold(found, model, counts[0], sum(counts.values()))
+    scratch.drop("features")
+    return model
 
 
 def scores(docs: DataFrame, model: dict | None) -> DataFrame:
@@ -105,7 +148,7 @@ def scores(docs: DataFrame, model: dict | None) -> DataFrame:
         m = shared.value
         for batch in batches:
             x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
-            far = ((x - m["mean"]) / m["scale"]) @ m["w"] - m["threshold"] if m else np.zeros(len(x))
+            far = raw_scores(x, m) - m["threshold"] if m else np.zeros(len(x))
             s = 1 / (1 + np.exp(-np.clip(far, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 

@@ -174,6 +174,20 @@ def test_quality(spark):
     assert quality.fit(docs, labels, F.lit(True)) is None
 
 
+def test_quality_threshold_covers_all_training_rows(spark):
+    r = random.Random(4)
+    texts = [" ".join(r.choices(["good", "words", "here.", "AND", "|", "1"], k=r.randint(5, 40))) for _ in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(300)], "doc_id long, quality int")  # a fifth is bad
+    model = quality.fit(docs, labels, F.lit(True), rows=30)  # both labels are over the sample's size
+    raw = quality.raw_scores(np.array([quality.features(t) for t in texts]), model)
+    assert abs(model["threshold"] - np.quantile(raw, 60 / 300)) < 1e-12
+    got = [x.predicted for x in quality.scores(docs, model).collect()]
+    assert got.count(0) == 60
+    values = spark.createDataFrame([(float(x),) for x in [3, 1, 1, 1, -2.5, 7, 7, 1e-9]], "raw double")
+    assert [quality.ranked_value(values, k) for k in range(8)] == [-2.5, 1e-9, 1, 1, 1, 3, 7, 7]
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
