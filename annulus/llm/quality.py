@@ -22,9 +22,16 @@ from annulus.llm.common import Scratch, first_by_hash
 
 ROWS, PAIRS, RIDGE, SEED, BUCKETS = 3000, 30_000, 1e-3, 9, 4096
 SYMBOLS = re.compile(r"[^\w\s.,;:!?'\"()-]")
+CAPITALS = bytes(range(65, 91))
 FEATURES = 20
 
 
+def capitals(text: str, data: bytes) -> int:
+    """How many characters of a whole text, whose UTF-8 is data, are upper case."""
+    others = () if text.isascii() else [c for c in set(text) if c > "\x7f" and c.isupper()]
+    return len(data) - len(data.translate(None, CAPITALS)) + sum(map(text.count, others))
+
+
 def features(text: str | None) -> list[float]:
     """Numbers that say how a whole text is written; all zero for no words."""
     words = (text or "").split()
@@ -36,9 +43,9 @@ def features(text: str | None) -> list[float]:
     same = sum(map(str.__eq__, words, words[1:]))
     marks = len(SYMBOLS.findall(text))
     bars, stops, commas = text.count("|"), text.count("."), text.count(",")
-    upper = sum(map(str.isupper, text)) if chars < 4096 else sum(c.isupper() for c in text[:: max(1, chars // 4096)]) * chars / len(text[:: max(1, chars // 4096)])
     digits = sum(text.count(d) for d in "0123456789")
     data = text.encode("utf-8", "replace")
+    upper = capitals(text, data)
     packed = len(zlib.compress(data, 1)) / len(data)
     per = 1.0 / n
     return [

@@ -174,6 +174,17 @@ def test_quality(spark):
     assert quality.fit(docs, labels, F.lit(True)) is None
 
 
+def test_capitals_are_counted_in_whole_texts():
+    r = random.Random(5)
+    for n in (10, 4000, 8191, 8193, 50_000):
+        for alphabet in ("abC D\n", "aÄßǅⅧ日É😀Ω.x", "\ud800A"):
+            text = "".join(r.choices(alphabet, k=n))
+            assert quality.capitals(text, text.encode("utf-8", "replace")) == sum(map(str.isupper, text))
+    lines = ("x" * 15 + "Q") * 4096  # 65536 characters: a stride of 16 meets no upper case
+    at = [a - b for a, b in zip(quality.features(lines), quality.features(lines.lower()), strict=True)]
+    assert abs(at[14] - 1 / 16) < 1e-12
+
+
 def test_quality_threshold_covers_all_training_rows(spark):
     r = random.Random(4)
     texts = [" ".join(r.choices(["good", "words", "here.", "AND", "|", "1"], k=r.randint(5, 40))) for _ in range(300)]
