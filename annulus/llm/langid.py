@@ -1,7 +1,8 @@
 """Language by compression: a text belongs to the language whose zstandard dictionary makes it smallest.
 
 Each language's dictionary is raw content: letters of labelled training rows, a bounded sample (``rows`` rows of
-``row_bytes`` bytes at most for each language, by the order of a hash of the id). A whole text is compressed in parts
+``row_bytes`` bytes at most for each language: texts of ``LONG`` characters first, then shorter ones, each by the order
+of a hash of the id, so that every language with a labelled text that has a letter is learned). A whole text is compressed in parts
 of about ``PART`` bytes, each with every language's dictionary; short texts with several smaller dictionaries of each
 language, so that sizes of few bytes differ. The smallest size wins a part; how far the others are behind, on a
 scale of ``SCALE`` bytes, divides its vote. The score is the winner's share of votes, the margin its lead.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 from annulus.llm.common import first_by_hash, id_hash
 
 ROWS, ROW_BYTES, SHARDS, PART, LEVEL = 512, 512, 4, 1024, 3
-SHORT, SCALE, MARGIN, UNKNOWN = 400, 6.0, 0.02, "und"
+SHORT, SCALE, MARGIN, UNKNOWN, LONG = 400, 6.0, 0.02, "und", 200
 LETTER = re.compile(r"[^\W\d_]")
 OTHER = re.compile(r"[\W\d_]+")
 RESULT = "lang_pred string, score double, margin double, rejected boolean"
@@ -38,8 +39,8 @@ def fit(docs: DataFrame, training: Column, rows: int = ROWS, row_bytes: int = RO
     At most ``rows`` rows for each language and ``row_bytes`` bytes of each come to the driver; ids are picked first,
     without texts.
     """
-    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= 200))
-    picked = first_by_hash(known.select("doc_id", "lang"), "lang", rows)
+    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
+    picked = first_by_hash(known.select("doc_id", "lang", (F.length("text") < LONG).alias("brief")), "lang", rows, before=("brief",))
     ids = F.broadcast(picked.select("doc_id", F.col("lang").alias("of"), "r"))  # rows for each language, at most
     found = known.join(ids, (known["doc_id"] == ids["doc_id"]) & (known["lang"] == ids["of"]))
     out: dict[str, list[tuple]] = {}

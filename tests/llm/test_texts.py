@@ -162,6 +162,22 @@ def test_language(spark, sf_dir):
     assert langid.keep_known(docs.limit(0)).count() == 0
 
 
+def test_languages_of_short_texts_are_learned(spark):
+    r = random.Random(6)
+    words = {"de": "der und nicht eine wird auch nach".split(), "fr": "les dans avec pour une sont mais".split(), "ja": ["日本語", "です", "私は", "東京", "学校"]}
+    rows = [(i, " ".join(r.choices(words[lang], k=9)), lang) for i, lang in enumerate(sorted(words) * 40)]
+    rows += [(900, "12 34", "xx"), (901, "", "yy"), (902, "mot", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    books = langid.fit(docs, F.col("doc_id") % 4 != 2)
+    assert sorted(books) == ["de", "fr", "ja"] and set(langid.fit(docs, F.lit(True))) == {"de", "fr", "ja", "zz"}
+    got = langid.predict(docs.where("doc_id % 4 = 2 and doc_id < 900"), books).collect()
+    assert accuracy([(i, x.lang_pred == x.lang) for i, x in enumerate(got)], [True] * len(got)) > 0.9
+    assert langid.keep_known(docs.where("doc_id < 900"), F.lit(True)).count() > 100
+    mixed = [(i, f"{'lang' if i < 3 else 'kurz'} " * (60 if i < 3 else 2), "de") for i in range(9)]
+    book = langid.fit(spark.createDataFrame(mixed, docs.schema), F.lit(True), rows=4)["de"]
+    assert book.count(b"kurz") == 2  # three long texts, then one short one
+
+
 def test_quality(spark):
     sf = "/root/testdata/sf0.01"
     truth = {x.doc_id: x.quality for x in spark.read.parquet(f"{sf}/labels.parquet").collect()}
