@@ -43,7 +43,9 @@ class Ids(dict):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model, self.letters = Tokenizer.from_file(path).model, byte_characters()
+        self.whole = Tokenizer.from_file(path)
+        self.model, self.letters = self.whole.model, byte_characters()
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE:
@@ -60,8 +62,15 @@ def _ids(path: str) -> Ids:
     return Ids(path)
 
 
-def token_ids(text: str | None, path: str, pattern: str) -> bytes:
-    """The document's ids and a closing 0, as little-endian 32-bit numbers."""
+def token_ids(text: str | None, path: str, pattern: str, added: bool = False) -> bytes:
+    """The document's ids and a closing 0, as little-endian 32-bit numbers.
+
+    With ``added``, the file's added tokens in a text are one id each, as the tokenizers library encodes by default;
+    else they are text like any other (its ``encode_special_tokens``).
+    """
+    if added and text and any(t in text for t in _ids(path).added):
+        ids = _ids(path).whole.encode(text.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+        return np.array([*ids, 0], "<u4").tobytes()
     return b"".join(map(_ids(path).__getitem__, split(text or "", pattern))) + b"\0\0\0\0"
 
 
@@ -73,14 +82,14 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     return ([(0, first)] if first else []) + [(s, capacity) for s in range(first, n, capacity)]
 
 
-def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, with_ids: bool = False, added: bool = False) -> DataFrame:
     """A row per piece of each row of docs; with_ids adds ``ids array<int>``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, ids = [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                data = token_ids(text, path, pattern)
+                data = token_ids(text, path, pattern, added)
                 for k, (start, length) in enumerate(cuts(len(data) // 4, capacity)):
                     part = data[4 * start : 4 * (start + length)]
                     rows.append((doc_id, k, start, length, zlib.crc32(part)))
@@ -281,14 +290,14 @@ def sequences(scratch: Scratch, items: DataFrame, capacity: int = CAPACITY, smal
     return every.unionByName(whole.withColumn("offset", F.lit(0).cast("long")))
 
 
-def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, small: int = SMALL, groups: int = GROUPS, with_ids: bool = False, added: bool = False) -> DataFrame:
     """Packs every row of docs: doc_id, piece, start, length, ids_crc32, sequence_id and offset (and ids) per piece.
 
     A null or empty text is the single token 0. Repeated rows are packed each for itself, also rows with a null
-    doc_id. An empty table gives an empty result. Other columns of docs are ignored.
+    doc_id. An empty table gives an empty result. Other columns of docs are ignored. For ``added`` see token_ids.
     """
     scratch = Scratch(docs.sparkSession, "packing")
-    cut = pieces(docs, path, pattern, capacity, with_ids)
+    cut = pieces(docs, path, pattern, capacity, with_ids, added)
     cut = scratch.keep(cut.withColumn("uid", F.monotonically_increasing_id()), "pieces")
     dealt = scratch.keep(sequences(scratch, cut.select("uid", "length"), capacity, small, groups), "sequences")
     scratch.drop("large", "free", "small", "before_large", "before_small", "before_room")

@@ -81,6 +81,23 @@ def test_pack(spark):
     assert packing.pack(docs.limit(0), VOCAB, P.PATTERN).count() == 0
 
 
+def test_pack_queries_encode_added_tokens(spark, sf_dir, tmp_path):
+    import corpus_pipeline
+
+    texts = ["<|endoftext|>", "a b<|endoftext|> c<|endoftext|><|endoftext|>\n", "<|endoftext", *sample_texts(4, 5)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    tok = Tokenizer.from_file(VOCAB)  # in its default state
+    want = {i: [*tok.encode(t or "", add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+    assert want[0] == [50256, 0]
+    for rows in (queries.op2_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.pack(spark, docs, sf_dir)):
+        own = rows.collect()
+        assert {x.doc_id for x in own} == set(want)
+        for x in own:
+            assert x.ids_crc32 == zlib.crc32(np.array(want[x.doc_id][x.start : x.start + x.length], "<u4").tobytes())
+        assert sum(x.length for x in own) == sum(map(len, want.values()))
+
+
 def test_best_fit_plan_is_best_fit():
     r = random.Random(2)
     for _ in range(30):
