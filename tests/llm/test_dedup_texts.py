@@ -158,3 +158,38 @@ def test_substring_dedup(spark):
     for x in cut.where("doc_id is not null").collect():
         assert hashlib.sha256((x.text or "").encode()).hexdigest() == out[x.doc_id].kept_sha256 and (x.text is None or x.n_chars == len(x.text))
     assert substring_dedup(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("small", [2, 64])
+def test_pipeline_drops_near_copies_of_similarity_08(spark, sf_dir, small, monkeypatch):
+    import corpus_pipeline
+    from annulus.llm import near_copies
+
+    monkeypatch.setattr(near_copies.drop_near_copies, "__defaults__", (near_copies.WORDS, near_copies.SIMILARITY, small))
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdefgh", k=5))
+    texts = [None, "", "one two", "ONE  two", "one two three"]
+    for group in range(12):
+        base = [word() for _ in range(200)]
+        texts.append(" ".join(base))
+        for changes in (0, 1, 2, 4, 5, 7, 12, 25):
+            own = list(base)
+            for at in r.sample(range(200), changes):
+                own[at] = word()
+            texts.append(" ".join(own))
+    for _ in range(40):  # a large group: each shares all but its last words with the first
+        texts.append(" ".join([*base[:190], *[word() for _ in range(r.choice([2, 9, 20, 45]))]]))
+    r.shuffle(texts)
+
+    def grams(t):
+        w = (t or "").lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets = [grams(t) for t in texts]
+    close = [(a * 3 + 1, b * 3 + 1) for b in range(len(texts)) for a in range(b) if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    want = rooted(close, [i * 3 + 1 for i in range(len(texts))])
+    kept = corpus_pipeline.near_dedup(spark, as_docs(spark, texts), sf_dir)
+    got = [x.doc_id for x in kept.select("doc_id").collect()]
+    assert sorted(x for x in got if x is not None) == sorted(k for k, v in want.items() if k == v)
+    assert got.count(None) == 1 and kept.columns == as_docs(spark, texts).columns
+    assert corpus_pipeline.near_dedup(spark, kept.limit(0), sf_dir).count() == 0
