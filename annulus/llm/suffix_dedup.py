@@ -4,15 +4,15 @@ Suffixes are ordered to a depth of ``width`` bytes only, by most-significant-dig
 that are still open by one longer digit of their own bytes, and drops those whose group holds one document only. After
 the last digit, groups of equal strings are exactly the repeated windows; those outside the group's first document go.
 
-Not every suffix has to be dealt. Each string of ``width`` bytes owns the gram of 16 bytes in it whose hash is least
-(its anchor). Which gram that is depends on the string's bytes alone, so equal strings own equal grams at equal
+Not every suffix has to be dealt. Each string of ``width`` bytes owns the gram of 24 bytes in it whose first 16 have
+the least hash (its anchor). Which gram that is depends on the string's bytes alone, so equal strings own equal grams at equal
 distances from their starts; a string can repeat only if its anchor's gram does, and then every equal string lies at
-the same distance before such a gram. So suffixes are dealt in bundles, one for each anchor (one byte in seventeen),
+the same distance before such a gram. So suffixes are dealt in bundles, one for each anchor (one byte in fourteen),
 each bundle standing for the strings that own it: those that start ``near`` to ``far`` bytes before it.
 
 1. First digit, the anchor's gram: bundles whose gram occurs in one document only drop out.
 2. Second digit, all bytes that the bundle's strings cover (a 128-bit digest together with the gram): where an earlier
-   document has the same, all strings of the bundle repeat; the first document's bundle stays open.
+   document has the same, all strings of the bundle repeat; the first document's bundle stays open if its gram has others.
 3. Third digit, for the open bundles of a gram: each string's own bytes. They are sorted in Arrow batches of whole grams,
    and equal neighbours are confirmed byte by byte. A gram with more than ``GROUP`` bundles is not put into one batch:
    its strings are dealt by ever longer digits first (the bytes that neighbouring strings share), and what stays
@@ -20,7 +20,8 @@ each bundle standing for the strings that own it: those that start ``near`` to `
 
 Bundles travel as packed arrays, a row for each bucket of grams and block of about ``BLOCK`` bytes of text, reduced to
 one entry for each gram (digit one) or part (digit two) before they meet, so that a gram or a passage in a third of all
-documents is as small there as any other. Anchors are computed twice, which is cheaper than keeping them on disk.
+documents is as small there as any other. Anchors are computed anew for each digit and, for the second, for each of
+``ROUNDS`` shares of the buckets: they take little time, and keeping or shuffling all at once would take more disk.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 from annulus.llm.common import Scratch
 from annulus.llm.spans import digests, row_key, with_spans
 
-GRAM, WIDTH = 16, 50
+GRAM, ORDER, WIDTH, ROUNDS = 24, 16, 50, 2
 SEGMENT, BLOCK = 1 << 18, 4 << 20
 BUNDLES, GROUP = 1 << 20, 4096  # anchors to a bucket; bundles of one gram to a batch
 #: How a place is packed: 19 bits of the row's key, 32 of the anchor's byte, 6 each of far and near.
@@ -88,7 +89,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, surroundings
         b = min(a + SEGMENT, n)
         lo, hi = max(0, a - halo), min(n, b + halo + width)
         h = VALUES[data[lo:hi]]
-        for m, step in zip((1, 2, 4, 8), STEPS, strict=False):
+        for m, step in zip((1, 2, 4, 8), STEPS, strict=False):  # up to ORDER bytes
             h = h[:-m] * step + h[m:]
         h ^= h >> np.uint32(15)
         h *= STEPS[4]
@@ -208,8 +209,8 @@ def repeated_grams(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "bucket long, parts long, grams binary")
 
 
-def bundles_of_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
-    """All bundles of each block of text by bucket: gram, digest of the surroundings, doc_id and place, packed."""
+def bundles_of_blocks(docs: DataFrame, width: int, buckets: int, share: int = 0, shares: int = 1) -> DataFrame:
+    """The bundles of each block of text by bucket, of every bucket of the share: gram, digest of the surroundings, doc_id and place, packed."""
 
     def dealt(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         cols = [np.concatenate(x) for x in zip(*found, strict=True)]
@@ -217,7 +218,9 @@ def bundles_of_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
         cols = [c[order] for c in cols]
         names, cut = _by_bucket(cols[0], buckets)
         parts = -(-np.diff(cut) // (4 * (len(order) // buckets + 1024)))
-        data = [_packed(*(c[i:j] for c in cols)) for i, j in zip(cut, cut[1:], strict=False)]
+        own = names % shares == share
+        data = [_packed(*(c[i:j] for c in cols)) for i, j, mine in zip(cut, cut[1:], own, strict=False) if mine]
+        names, parts = names[own], parts[own]
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["bucket", "parts", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,8 +243,8 @@ def bundles_of_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
 
 
 def first_in_parts(bundles: DataFrame, grams: DataFrame) -> DataFrame:
-    """Digit two in the parts of each bucket: ``(gram, around, doc_id, at, lost)`` of bundles with a repeated gram; lost where
-    an earlier document of the part has the same surroundings, else open: the part's first document."""
+    """Digit two in the parts of each bucket: ``(gram, around, doc_id, at, lost)`` of bundles with a repeated gram; lost
+    (gram and around are null then) where an earlier document of the part has the same surroundings, else open: the part's first document."""
     schema = "gram long, around long, doc_id long, at long, lost boolean"
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -257,14 +260,15 @@ def first_in_parts(bundles: DataFrame, grams: DataFrame) -> DataFrame:
         gram, around, doc, at = (x[order] for x in (gram, around, doc, at))
         begin = _starts(gram, around)
         least = np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
-        return pa.table([gram, around, doc, at, doc > least], ["gram", "around", "doc_id", "at", "lost"])
+        lost = doc > least
+        return pa.table([pa.array(gram, mask=lost), pa.array(around, mask=lost), doc, at, lost], ["gram", "around", "doc_id", "at", "lost"])
 
     right = grams.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).select("bucket", "part", "grams")
     return bundles.groupBy("bucket", "part").cogroup(right.groupBy("bucket", "part")).applyInArrow(run, schema)
 
 
 def _contexts(docs: DataFrame, width: int) -> DataFrame:
-    """``docs(doc_id, key, text binary, open)`` -> a row for each open bundle with ``context``, the bytes from width - 16 before
+    """``docs(doc_id, key, text binary, open)`` -> a row for each open bundle with ``context``, the bytes from width - GRAM before
     its anchor to width after it (zeros beyond the text)."""
     halo = width - GRAM
 
@@ -387,13 +391,17 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total) * 2 // (width - GRAM + 2) // BUNDLES + 8
     grams = scratch.keep(repeated_grams(grams_of_blocks(docs, width, buckets)), "grams")
-    found = scratch.keep(first_in_parts(bundles_of_blocks(docs, width, buckets), grams), "bundles")
+    found = _union([scratch.keep(first_in_parts(bundles_of_blocks(docs, width, buckets, i, ROUNDS), grams.where(F.col("bucket") % ROUNDS == i)), f"bundles{i}") for i in range(ROUNDS)])
     scratch.drop("grams")
     place = {n: F.shiftright("at", shift).bitwiseAND(F.lit(mask).cast("long")) for n, (shift, mask) in PLACE.items()}
     span = (F.shiftleft(place["byte"] - place["far"], 32) + place["byte"] - place["near"] + width).alias("span")
     open_ = found.where("not lost")
-    firsts = open_.groupBy("gram", "around").agg(F.min("doc_id").alias("lo"))
-    judged = scratch.keep(open_.join(firsts, ["gram", "around"]).select("gram", "doc_id", "at", (F.col("doc_id") > F.col("lo")).alias("lost")), "judged")
+    firsts = scratch.keep(open_.groupBy("gram", "around").agg(F.min("doc_id").alias("lo")), "firsts")
+    several = firsts.groupBy("gram").agg(F.count("*").alias("n"), F.min("lo").alias("a"), F.max("lo").alias("z")).where("n > 1 and a < z").select("gram", F.lit(True).alias("several"))
+    marked = firsts.join(several, "gram", "left")
+    judged = open_.join(marked, ["gram", "around"]).select("gram", "doc_id", "at", (F.col("doc_id") > F.col("lo")).alias("lost"), "several")
+    judged = scratch.keep(judged.where("lost or several"), "judged")
+    scratch.drop("firsts")
     whole = found.where("lost").select("doc_id", "at").unionByName(judged.where("lost").select("doc_id", "at"))
     whole = whole.select("doc_id", place["key"].alias("key"), span)
 
@@ -401,7 +409,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     contexts = _contexts(_named(docs, width).join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "open"), width)
     parts = _third_digit(scratch, scratch.keep(contexts, "contexts"), width)
     spans = scratch.keep(whole.unionByName(parts).groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")), "spans")
-    scratch.drop("bundles", "judged", "contexts", *[f"{x}{i}" for x in ("deals", "found", "rows") for i in range(3)])
+    scratch.drop("judged", "contexts", *[f"{x}{i}" for x in ("bundles", "deals", "found", "rows") for i in range(3)])
     return spans
 
 

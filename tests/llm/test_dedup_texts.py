@@ -193,3 +193,43 @@ def test_pipeline_drops_near_copies_of_similarity_08(spark, sf_dir, small, monke
     assert sorted(x for x in got if x is not None) == sorted(k for k, v in want.items() if k == v)
     assert got.count(None) == 1 and kept.columns == as_docs(spark, texts).columns
     assert corpus_pipeline.near_dedup(spark, kept.limit(0), sf_dir).count() == 0
+
+
+def test_suffix_report_of_hot_grams_and_a_long_text(spark, monkeypatch):
+    from annulus.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "GROUP", 8)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 997)
+    r = random.Random(12)
+    word = lambda: "".join(r.choices("abcdefgh", k=r.randint(3, 7)))
+    phrase = "a common phrase of more than thirty bytes that is everywhere"
+    texts = [" ".join([word(), word(), phrase[: r.randint(26, 60)], word(), word(), word(), word()]) for _ in range(150)]
+    texts += [" ".join(word() for _ in range(6)) + phrase + " ".join(word() for _ in range(3)) for _ in range(40)]
+    texts += ["x" * 49, "x" * 50, "x" * 200, "ab" * 300, "ä" * 60]
+    want = cut_slowly(texts, 50)
+    rows = suffix_report(as_docs(spark, texts), 50).where("doc_id is not null").collect()
+    assert all((x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) == want[x.doc_id] for x in rows)
+    assert sum(v[1] > 0 for v in want.values()) > 20
+
+
+def test_anchors_of_segments_are_those_of_the_whole():
+    import numpy as np
+
+    from annulus.llm import suffix_dedup
+
+    r = random.Random(4)
+    texts = ["".join(r.choices("abcd ", k=n)).encode() for n in (12_000_000, 50, 70, 3, 0, 400_000)]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    ends = np.cumsum([len(t) for t in texts])
+    got = list(suffix_dedup.anchors(data, ends, 50))
+    assert len(got) > 40
+    doc, at, gram, around, far, near = (np.concatenate(x) for x in zip(*got, strict=True))
+    begins = ends - [len(t) for t in texts]
+    first, last = at - begins[doc] - far, at - begins[doc] - near
+    assert (first >= 0).all() and (last + 50 <= np.diff(np.append(0, ends))[doc]).all() and (far < 27).all()
+    held = np.zeros(len(data) + 1, np.int64)  # every string of 50 bytes is owned
+    np.add.at(held, at - far, 1)
+    np.add.at(held, at - near + 1, -1)
+    held = np.cumsum(held)
+    for begin, t in zip(begins, texts, strict=True):
+        assert (held[begin : begin + max(0, len(t) - 49)] > 0).all()
