@@ -20,8 +20,7 @@ each bundle standing for the strings that own it: those that start ``near`` to `
 
 Bundles travel as packed arrays, a row for each bucket of grams and block of about ``BLOCK`` bytes of text, reduced to
 one entry for each gram (digit one) or part (digit two) before they meet, so that a gram or a passage in a third of all
-documents is as small there as any other. Anchors are computed anew for each digit and, for the second, for each of
-``ROUNDS`` shares of the buckets: they take little time, and keeping or shuffling all at once would take more disk.
+documents is as small there as any other. Anchors are computed twice, which is cheaper than keeping them on disk.
 """
 
 from __future__ import annotations
@@ -38,14 +37,15 @@ from pyspark.sql import functions as F
 from annulus.llm.common import Scratch
 from annulus.llm.spans import digests, row_key, with_spans
 
-GRAM, ORDER, WIDTH, ROUNDS = 24, 16, 50, 2
+GRAM, WIDTH = 24, 50
 SEGMENT, BLOCK = 1 << 18, 4 << 20
 BUNDLES, GROUP = 1 << 20, 4096  # anchors to a bucket; bundles of one gram to a batch
 #: How a place is packed: 19 bits of the row's key, 32 of the anchor's byte, 6 each of far and near.
 PLACE = {"key": (44, 0x7FFFF), "byte": (12, 0xFFFFFFFF), "far": (6, 63), "near": (0, 63)}
-#: Multipliers of the order hash, of the digits' hashes, and a number for each byte value.
+#: Multipliers of the order hash, of the digits' hashes and of a string's words, and a number for each byte value.
 STEPS = np.random.default_rng(50).integers(1 << 20, 1 << 32, 5, np.uint32) | np.uint32(1)
 FIRST, SECOND, LAST = np.random.default_rng(51).integers(1 << 60, 1 << 64, 3, np.uint64) | np.uint64(1)
+WEIGHTS = np.random.default_rng(53).integers(1 << 60, 1 << 64, 9, np.uint64) | np.uint64(1)
 VALUES = np.random.default_rng(52).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -89,7 +89,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int = WIDTH, surroundings
         b = min(a + SEGMENT, n)
         lo, hi = max(0, a - halo), min(n, b + halo + width)
         h = VALUES[data[lo:hi]]
-        for m, step in zip((1, 2, 4, 8), STEPS, strict=False):  # up to ORDER bytes
+        for m, step in zip((1, 2, 4, 8), STEPS, strict=False):  # 16 bytes
             h = h[:-m] * step + h[m:]
         h ^= h >> np.uint32(15)
         h *= STEPS[4]
@@ -209,8 +209,8 @@ def repeated_grams(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("bucket").applyInArrow(run, "bucket long, parts long, grams binary")
 
 
-def bundles_of_blocks(docs: DataFrame, width: int, buckets: int, share: int = 0, shares: int = 1) -> DataFrame:
-    """The bundles of each block of text by bucket, of every bucket of the share: gram, digest of the surroundings, doc_id and place, packed."""
+def bundles_of_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
+    """The bundles of each block of text by bucket: gram, digest of the surroundings, doc_id and place, packed."""
 
     def dealt(found: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
         cols = [np.concatenate(x) for x in zip(*found, strict=True)]
@@ -218,9 +218,7 @@ def bundles_of_blocks(docs: DataFrame, width: int, buckets: int, share: int = 0,
         cols = [c[order] for c in cols]
         names, cut = _by_bucket(cols[0], buckets)
         parts = -(-np.diff(cut) // (4 * (len(order) // buckets + 1024)))
-        own = names % shares == share
-        data = [_packed(*(c[i:j] for c in cols)) for i, j, mine in zip(cut, cut[1:], own, strict=False) if mine]
-        names, parts = names[own], parts[own]
+        data = [_packed(*(c[i:j] for c in cols)) for i, j in zip(cut, cut[1:], strict=False)]
         return pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts, pa.int64()), pa.array(data, pa.binary())], ["bucket", "parts", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,50 +267,60 @@ def first_in_parts(bundles: DataFrame, grams: DataFrame) -> DataFrame:
 
 def _contexts(docs: DataFrame, width: int) -> DataFrame:
     """``docs(doc_id, key, text binary, open)`` -> a row for each open bundle with ``context``, the bytes from width - GRAM before
-    its anchor to width after it (zeros beyond the text)."""
+    its anchor to width after it (what lies beyond the text belongs to no string of the bundle)."""
     halo = width - GRAM
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc_id, key, text, bundles in zip(*(batch.column(c) for c in ("doc_id", "key", "text", "open")), strict=True):
-                gram, at = (bundles.values.field(c).to_numpy() for c in ("gram", "at"))
-                data = np.concatenate([np.zeros(halo, np.uint8), np.frombuffer(text.as_buffer(), np.uint8), np.zeros(width, np.uint8)])
-                for lo in range(0, len(gram), 10_000):
-                    part = slice(lo, lo + 10_000)
-                    rows = sliding_window_view(data, halo + width)[at[part] >> 12 & 0xFFFFFFFF]
-                    n = len(rows)
-                    context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(halo + width), n, [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array(gram[part]), pa.array(np.full(n, doc_id.as_py())), pa.array(np.full(n, key.as_py())), pa.array(at[part]), context], ["gram", "doc_id", "key", "at", "context"])
+            open_ = batch.column("open")
+            gram, at = (open_.flatten().field(c).to_numpy() for c in ("gram", "at"))
+            ids, keys, data, ends = next(_texts(iter([batch])))
+            data = np.concatenate([np.zeros(halo, np.uint8), data, np.zeros(width, np.uint8)])
+            begins = np.concatenate([np.zeros(1, np.int64), ends[:-1]])
+            doc = np.repeat(np.arange(len(ids)), np.asarray(open_.value_lengths()))
+            place = begins[doc] + (at >> 12 & 0xFFFFFFFF)
+            for lo in range(0, len(gram), 20_000):
+                part = slice(lo, lo + 20_000)
+                rows = sliding_window_view(data, halo + width)[place[part]]
+                context = pa.FixedSizeBinaryArray.from_buffers(pa.binary(halo + width), len(rows), [None, pa.py_buffer(rows.tobytes())]).cast(pa.binary())
+                columns = [pa.array(x[part]) for x in (gram, ids[doc], keys[doc], at)]
+                yield pa.RecordBatch.from_arrays([*columns, context], ["gram", "doc_id", "key", "at", "context"])
 
     return docs.mapInArrow(run, "gram long, doc_id long, key long, at long, context binary")
 
 
 def _repeated_strings(deal: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, context: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each bundle the first and last of its strings, by how far before the anchor they start (first the nearest), that
-    an earlier document of its deal has; where there is none, the first is greater than the last."""
+    """For each bundle the nearest and farthest of its strings, by how far before the anchor they start, that an earlier
+    document of its deal has; where there is none, the nearest is greater than the farthest."""
     halo = width - GRAM
     offsets = [*range(0, width - 7, 8), width - 8]
-    near, far = np.full(len(deal), 63), np.full(len(deal), -1)
-    back = np.arange(halo + 1)
-    row, col = np.nonzero((back >= first[:, None]) & (back <= last[:, None]))
-    b = back[col]
-    words = sliding_window_view(context, 8, axis=1)
-    start = halo - b
-    held = np.stack([np.ascontiguousarray(words[row, start + o]).view("<u8")[:, 0] for o in offsets], axis=1)
-    name = _hash(held, deal[row].view(np.uint64) * FIRST + b.astype(np.uint64))
-    order = np.lexsort((doc[row], name))
-    name, row, b, held = name[order], row[order], b[order], held[order]
+    words = np.ascontiguousarray(sliding_window_view(context, 8, axis=1)).view("<u8")[:, :, 0]
+    back = np.arange(halo, -1, -1)  # column j: the string that starts at byte j of the context
+    sums = np.broadcast_to(_hash(deal.view(np.uint64)[:, None], 3)[:, None] ^ back.astype(np.uint64), (len(deal), halo + 1)).copy()
+    for o, by in zip(offsets, WEIGHTS, strict=False):
+        sums += words[:, o : o + halo + 1] * by
+    row, column = np.nonzero((back >= first[:, None]) & (back <= last[:, None]))
+    name = sums[row, column]
+    order = np.argsort(name)
+    name, row, column = name[order], row[order], column[order]
     begin = _starts(name)
+    size = np.diff(np.append(begin, len(name)))
+    again = np.repeat(size > 1, size)  # the others are alone
+    row, column, name = row[again], column[again], name[again]
+    if not len(name):
+        return np.full(len(deal), 63), np.full(len(deal), -1)
+    begin = _starts(name)
+    held = np.stack([words[row, column + o] for o in offsets], axis=1)
     head = np.repeat(begin, np.diff(np.append(begin, len(name))))
-    same = (held == held[head]).all(axis=1) & (b == b[head]) & (deal[row] == deal[row[head]])
-    if not same.all():  # two strings with one hash: take the bytes themselves for names
-        order = np.lexsort((doc[row], *held.T, b, deal[row]))
-        row, b, held = row[order], b[order], held[order]
-        begin = _starts(deal[row], b, *held.T)
-        head = np.repeat(begin, np.diff(np.append(begin, len(row))))
-    lost = doc[row] > doc[row[head]]
-    np.minimum.at(near, row[lost], b[lost])
-    np.maximum.at(far, row[lost], b[lost])
+    if not ((held == held[head]).all() and (column == column[head]).all() and (deal[row] == deal[row[head]]).all()):
+        order = np.lexsort((*held.T, column, deal[row]))  # two strings have one name: take the bytes themselves
+        row, column, held = row[order], column[order], held[order]
+        begin = _starts(deal[row], column, *held.T)
+    least = np.repeat(np.minimum.reduceat(doc[row], begin), np.diff(np.append(begin, len(row))))
+    lost = doc[row] > least
+    near, far = np.full(len(deal), 63), np.full(len(deal), -1)
+    np.minimum.at(near, row[lost], halo - column[lost])
+    np.maximum.at(far, row[lost], halo - column[lost])
     return near, far
 
 
@@ -391,7 +399,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = int(total) * 2 // (width - GRAM + 2) // BUNDLES + 8
     grams = scratch.keep(repeated_grams(grams_of_blocks(docs, width, buckets)), "grams")
-    found = _union([scratch.keep(first_in_parts(bundles_of_blocks(docs, width, buckets, i, ROUNDS), grams.where(F.col("bucket") % ROUNDS == i)), f"bundles{i}") for i in range(ROUNDS)])
+    found = scratch.keep(first_in_parts(bundles_of_blocks(docs, width, buckets), grams), "bundles")
     scratch.drop("grams")
     place = {n: F.shiftright("at", shift).bitwiseAND(F.lit(mask).cast("long")) for n, (shift, mask) in PLACE.items()}
     span = (F.shiftleft(place["byte"] - place["far"], 32) + place["byte"] - place["near"] + width).alias("span")
@@ -409,7 +417,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     contexts = _contexts(_named(docs, width).join(by_doc, ["doc_id", "key"]).select("doc_id", "key", "text", "open"), width)
     parts = _third_digit(scratch, scratch.keep(contexts, "contexts"), width)
     spans = scratch.keep(whole.unionByName(parts).groupBy("doc_id", "key").agg(F.collect_set("span").alias("spans")), "spans")
-    scratch.drop("judged", "contexts", *[f"{x}{i}" for x in ("bundles", "deals", "found", "rows") for i in range(3)])
+    scratch.drop("bundles", "judged", "contexts", *[f"{x}{i}" for x in ("deals", "found", "rows") for i in range(3)])
     return spans
 
 
