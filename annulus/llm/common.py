@@ -14,9 +14,11 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; a local one only where none is named."""
+    """The folder that the cluster names in ``spark.checkpoint.dir``; in local mode alone, one of our own where none is named."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         import tempfile
 
         root = tempfile.mkdtemp(prefix="annulus-")
@@ -59,6 +61,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of docs has, whatever the case."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def id_hash(id_column: str = "doc_id") -> Column:
     """crc32 of the id written as text; -1 where the id is null."""
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")), F.lit(-1).cast("long"))

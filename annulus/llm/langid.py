@@ -3,8 +3,7 @@
 Each language's dictionary is raw content: letters of labelled training rows, a bounded sample (``rows`` rows of
 ``row_bytes`` bytes at most for each language: texts of ``LONG`` characters first, then shorter ones, each by the order
 of a hash of the id, so that every language with a labelled text that has a letter is learned). A whole text is compressed in parts
-of about ``PART`` bytes, each with every language's dictionary; short texts with several smaller dictionaries of each
-language, so that sizes of few bytes differ. The smallest size wins a part; how far the others are behind, on a
+of about ``PART`` bytes, each with every language's dictionary. The smallest size wins a part; how far the others are behind, on a
 scale of ``SCALE`` bytes, divides its vote. The score is the winner's share of votes, the margin its lead.
 """
 
@@ -15,22 +14,23 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm.common import first_by_hash, id_hash
+from annulus.llm.common import first_by_hash, free_names, id_hash
 
-ROWS, ROW_BYTES, SHARDS, PART, LEVEL = 512, 512, 4, 1024, 3
-SHORT, SCALE, MARGIN, UNKNOWN, LONG = 400, 6.0, 0.02, "und", 200
-LETTER = re.compile(r"[^\W\d_]")
-OTHER = re.compile(r"[\W\d_]+")
-RESULT = "lang_pred string, score double, margin double, rejected boolean"
+ROWS, ROW_BYTES, PART, LEVEL = 512, 512, 512, 3
+SCALE, MARGIN, UNKNOWN, LONG = 6.0, 0.02, "und", 200
+LETTER, OTHER = regex.compile(r"\p{L}"), regex.compile(r"\P{L}+")
+OTHER_LATIN = re.compile(r"[\W\d_²³¹¼-¾]+")  # the same for texts without characters beyond U+00FF, faster
+NAMES = ("lang_pred", "score", "margin", "rejected")
 
 
 def letters(text: str) -> bytes:
     """The text in lower case, with a space for each run of anything but letters."""
-    return OTHER.sub(" ", text.lower()).encode("utf-8", "replace")
+    return (OTHER_LATIN if max(text, default="") <= "ÿ" else OTHER).sub(" ", text.lower()).encode("utf-8", "replace")
 
 
 def fit(docs: DataFrame, training: Column, rows: int = ROWS, row_bytes: int = ROW_BYTES) -> dict[str, bytes]:
@@ -58,11 +58,7 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 class Classifier:
     def __init__(self, books: dict[str, bytes], margin: float = MARGIN):
         self.langs, self.margin = sorted(books), margin
-        self.long = [[_compressor(books[x])] for x in self.langs]
-        self.short = []
-        for x in self.langs:
-            size = max(1, -(-len(books[x]) // SHARDS))
-            self.short.append([_compressor(books[x][i : i + size]) for i in range(0, len(books[x]), size)])
+        self.books = [_compressor(books[x]) for x in self.langs]
 
     def classify(self, text: str | None) -> tuple[str, float, float, bool]:
         """Language, score, margin and whether it is rejected."""
@@ -72,11 +68,10 @@ class Classifier:
         if len(self.langs) == 1:
             return self.langs[0], 1.0, 1.0, False
         votes, n = [0.0] * len(self.langs), len(data)
-        books = self.short if n <= SHORT else self.long
         count = max(1, round(n / PART))  # parts of nearly equal length
         for i in range(count):
             part = data[n * i // count : n * (i + 1) // count]
-            sizes = [sum(len(c.compress(part)) for c in own) / len(own) for own in books]
+            sizes = [len(own.compress(part)) for own in self.books]
             least = min(sizes)
             shares = [math.exp((least - s) / SCALE) for s in sizes]
             whole = sum(shares) * count
@@ -86,14 +81,16 @@ class Classifier:
         return self.langs[best], votes[best], margin, margin < self.margin
 
 
-def predict(docs: DataFrame, books: dict[str, bytes], margin: float = MARGIN) -> DataFrame:
-    """docs with lang_pred, score, margin and rejected; nothing but ``text`` is looked at.
+def predict(docs: DataFrame, books: dict[str, bytes], margin: float = MARGIN, names: tuple[str, ...] = NAMES) -> DataFrame:
+    """docs with lang_pred, score, margin and rejected (or four other names); nothing but ``text`` is looked at.
 
     Null texts and texts without a letter are ``und`` and rejected, as is everything where nothing was learned. Where
     margins are below ``margin``, the best language is still named, and rejected is true. Sizes that tie: the first
-    language by name. Columns of docs with one of these four names are replaced.
+    language by name. Columns of docs with one of the four names are replaced, all others come back as they were.
+    Rows are judged one by one, so repeated rows and null ids change nothing; an empty table gives an empty result. A
+    text of any length is held whole by one task and compressed part by part.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "margin", "rejected")]
+    kept = [c for c in docs.columns if c not in names]
     shared = docs.sparkSession.sparkContext.broadcast(books)  # bounded by fit
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema)
 
@@ -103,9 +100,10 @@ def predict(docs: DataFrame, books: dict[str, bytes], margin: float = MARGIN) ->
             found = [own.classify(t) for t in batch.column("text").to_pylist()]
             lang, score, gap, no = zip(*found, strict=True) if found else [()] * 4
             new = [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(gap, pa.float64()), pa.array(no, pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, "lang_pred", "score", "margin", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*kept, *names])
 
-    return docs.select(*kept).mapInArrow(run, f"{schema}, {RESULT}")
+    new = ", ".join(f"`{n}` {t}" for n, t in zip(names, ("string", "double", "double", "boolean"), strict=True))
+    return docs.select(*kept).mapInArrow(run, f"{schema}, {new}")
 
 
 def held_out(parts: int, part: int) -> Column:
@@ -114,7 +112,11 @@ def held_out(parts: int, part: int) -> Column:
 
 
 def keep_known(docs: DataFrame, training: Column | None = None, margin: float = MARGIN) -> DataFrame:
-    """The rows of docs whose language is told with enough margin; columns as they were. Learns from docs' own lang."""
+    """The rows of docs whose language is told with enough margin; columns as they were. Learns from docs' own lang.
+
+    Null texts and texts without a letter go; of repeated rows all stay or go. An empty table gives an empty result.
+    """
     training = ~held_out(4, 2) if training is None else training
-    found = predict(docs, fit(docs.select("doc_id", "text", "lang"), training), margin)
-    return found.where("not rejected").select(*docs.columns)
+    names = free_names(docs, *NAMES)
+    found = predict(docs, fit(docs.select("doc_id", "text", "lang"), training), margin, tuple(names))
+    return found.where(~F.col(names[3])).select(*docs.columns)
