@@ -16,9 +16,11 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm.common import text_key
+from annulus.llm.common import free_names, text_key
 
-MOST_STRINGS = 24
+MOST_STRINGS, MOST_GRAMS = 24, 2
+#: English letters from the most to the least common: fixed values, to tell which trigrams are seldom.
+COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 Query = list[list[frozenset[str]]]
 
 
@@ -40,14 +42,16 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----", 0, 1),
+    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)", 0, 1),
     Rule("web", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
 )
 BASE = ("assign", "access", "hex")
 
 
 def _trigrams(text: str) -> frozenset[str]:
-    return frozenset(text[i : i + 3] for i in range(len(text) - 2))
+    """The MOST_GRAMS trigrams of text whose letters are least common; whatever holds text holds them."""
+    grams = sorted({text[i : i + 3] for i in range(len(text) - 2)})
+    return frozenset(sorted(grams, key=lambda g: -sum(COMMON.find(c) % 27 for c in g))[:MOST_GRAMS])
 
 
 def trigram_query(pattern: str) -> Query:
@@ -150,15 +154,17 @@ def _spans(text: Column, rule: Rule) -> Column:
     return F.aggregate(sizes, start, step, lambda acc: acc["out"])
 
 
-def _with_kinds(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """docs with ``_kinds``: the rules of which each row is a candidate, rules without trigrams aside (null: of none)."""
-    keyed = docs.withColumn("_text_key", text_key())
-    found = candidates(keyed.select("doc_id", "_text_key", "text"), rules).withColumnsRenamed({"doc_id": "_id", "_text_key": "_key", "kinds": "_kinds"})
-    return keyed.join(found, keyed["doc_id"].eqNullSafe(found["_id"]) & (keyed["_text_key"] == found["_key"]), "left").drop("_id", "_key", "_text_key")
+def _with_kinds(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, str]:
+    """docs with a column of the name returned: the rules of which each row is a candidate, rules without trigrams aside (null: of none)."""
+    own, kinds, doc, of = free_names(docs, "_text_key", "_kinds", "_doc", "_of")
+    keyed = docs.withColumn(own, text_key())
+    found = candidates(keyed.select("doc_id", F.col(own).alias("_text_key"), "text"), rules)
+    found = found.select(F.col("doc_id").alias(doc), F.col("_text_key").alias(of), F.col("kinds").alias(kinds))
+    return keyed.join(found, keyed["doc_id"].eqNullSafe(found[doc]) & (keyed[own] == found[of]), "left").drop(doc, of, own), kinds
 
 
-def _applies(rule: Rule, text: Column) -> Column:
-    return F.array_contains("_kinds", rule.kind) if trigram_query(rule.pattern) else text.rlike(rule.pattern + ("" if rule.group else "") if rule.least < 2 else _long_enough(rule))
+def _applies(rule: Rule, text: Column, kinds: str) -> Column:
+    return F.array_contains(F.col(kinds), rule.kind) if trigram_query(rule.pattern) else text.rlike(_long_enough(rule))
 
 
 def _long_enough(rule: Rule) -> str:
@@ -175,10 +181,11 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    every = F.concat(*[F.when(_applies(r, text), _spans(text, r)).otherwise(none) for r in rules])
+    marked, kinds = _with_kinds(docs, rules)
+    every = F.concat(*[F.when(_applies(r, text, kinds), _spans(text, r)).otherwise(none) for r in rules])
     sortable = F.array_sort(F.transform(every, lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("o"), s["kind"].alias("kind"), s["end"].alias("end"))))
     found = F.transform(sortable, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
-    return _with_kinds(docs, rules).withColumn("secrets", found).drop("_kinds")
+    return marked.withColumn("secrets", found).drop(kinds)
 
 
 def as_text(spans: Column) -> Column:
@@ -194,14 +201,18 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 
 def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret's counted group replaced by mark; rows and columns stay, n_chars (if any) is set anew."""
-    out = _with_kinds(docs, rules)
+    """docs with every secret's counted group replaced by mark; rows and columns stay, n_chars (if any) is set anew.
+
+    Null and empty texts stay as they are; repeated rows and rows with a null doc_id are masked like any other; rules apply
+    one after the other to the whole text. An empty table gives an empty result.
+    """
+    out, kinds = _with_kinds(docs, rules)
     for rule in rules:
         text = F.col("text")
         between, whole, values = _parts(text, rule)
         kept = F.zip_with(whole, values, lambda m, v: F.when(F.length(v) >= rule.least, F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(v)), F.lit(mark))).otherwise(m))  # noqa: B023
         joined = F.array_join(F.zip_with(between, kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-        out = out.withColumn("text", F.when(text.isNotNull() & F.coalesce(_applies(rule, text), F.lit(False)), joined).otherwise(text))
+        out = out.withColumn("text", F.when(text.isNotNull() & F.coalesce(_applies(rule, text, kinds), F.lit(False)), joined).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

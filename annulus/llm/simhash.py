@@ -19,10 +19,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from annulus.llm.common import Scratch
+from annulus.llm.common import Scratch, text_key
 from annulus.llm.components import connected_components
+from annulus.llm.near_copies import first_rows
 
 SHINGLE_WORDS, MAX_BITS, BLOCKS, SMALL_BUCKET = 3, 2, 4, 64
 STEP = 65_536
@@ -43,15 +43,16 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(ones * 2 > count, bitorder="little").view(np.int64)[0])
 
 
-def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp long)``, row by row."""
+def with_fingerprints(docs: DataFrame, words: int = SHINGLE_WORDS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp long)`` and the columns of keep, row by row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = [fingerprint(x, words) for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fps, pa.int64()), *map(batch.column, keep)], ["doc_id", "fp", *keep])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    kept = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema) if keep else ""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *keep).mapInArrow(run, "doc_id long, fp long" + kept)
 
 
 def _masks(blocks: int, max_bits: int) -> list[int]:
@@ -97,8 +98,9 @@ def close_fingerprints(spark: SparkSession, fps: DataFrame, max_bits: int = MAX_
     return links
 
 
-def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS, small_bucket: int = SMALL_BUCKET) -> DataFrame:
-    """Fingerprint and group of every document: ``(doc_id long, fp long, component_id long)``.
+def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: int = MAX_BITS, blocks: int = BLOCKS, small_bucket: int = SMALL_BUCKET, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Fingerprint and group of every document: ``(doc_id long, fp long, component_id long)``; with columns to keep, these and
+    ``root long``, one value for each group.
 
     Null and empty texts and texts of white space have fingerprint 0 and link like any other. A row whose doc_id
     is null has a fingerprint, but no component (null), and links nothing. Repeated rows each give a row. An empty
@@ -106,32 +108,29 @@ def simhash_components(docs: DataFrame, words: int = SHINGLE_WORDS, max_bits: in
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "fingerprints")
-    rows = scratch.keep(with_fingerprints(docs, words), "rows")
+    rows = scratch.keep(with_fingerprints(docs, words, keep), "rows")
     firsts = scratch.keep(rows.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first_id")), "firsts")
     comps = connected_components(spark, close_fingerprints(spark, firsts.select("fp"), max_bits, blocks, small_bucket))
     named = firsts.join(comps.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = scratch.keep(named, "named")
     least = scratch.keep(named.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    by_fp = scratch.keep(named.join(least, "root").select("fp", "component_id"), "by_fp")
-    # A doc_id on several rows stands for all their groups' smallest id, as does the group of each.
+    by_fp = scratch.keep(named.join(least, "root").select("fp", "root", "component_id"), "by_fp")
     joined = rows.join(by_fp, "fp", "left")
-    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), *(("root", *keep) if keep else ()))
 
 
 def drop_near_copies(docs: DataFrame, **options: int) -> DataFrame:
-    """The rows of docs that are the first (smallest doc_id) of their group; one row of each repeated doc_id stays.
+    """One row of each group of close fingerprints: that of smallest doc_id (of several with it, that of the least text hash).
 
-    Rows whose doc_id is null are kept: nothing can be said of them. The columns of docs come back unchanged.
+    Rows of one doc_id are compared like any others, so of a repeated row one stays, and of two different texts under one
+    doc_id both. Rows whose doc_id is null are kept: nothing can be said of them. The columns of docs come back unchanged.
     """
-    groups = simhash_components(docs, **options)
-    firsts = groups.where("doc_id = component_id").select(F.col("doc_id").alias("__keep_id")).distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    kept = known.join(firsts, known["doc_id"] == firsts["__keep_id"], "left_semi")
-    return kept.unionByName(docs.where("doc_id is null"))
+    keyed = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
+    found = simhash_components(keyed, keep=("text_key",), **options)
+    firsts = found.groupBy("root").agg(F.min(F.struct("doc_id", "text_key")).alias("first")).select("first.doc_id", "first.text_key")
+    return first_rows(docs, firsts)
 
 
 def hex_fingerprint(fp: Column) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
-
-RESULT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fingerprint", T.StringType()), T.StructField("component_id", T.LongType())])

@@ -6,21 +6,23 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annulus.llm.common import free_names
+
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
-def merged(spans: list[int] | None) -> list[tuple[int, int]]:
-    """Maximal runs of ``start << 32 | end`` spans."""
+def merged(spans: list[int] | None, least: int = 0) -> list[tuple[int, int]]:
+    """Maximal runs, of least bytes or more, of ``start << 32 | end`` spans."""
     out: list[tuple[int, int]] = []
     for start, end in sorted((x >> 32, x & 0xFFFFFFFF) for x in spans or ()):
         if out and start <= out[-1][1]:
             out[-1] = (out[-1][0], max(end, out[-1][1]))
         else:
             out.append((start, end))
-    return out
+    return [x for x in out if x[1] - x[0] >= least] if least else out
 
 
 def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
@@ -28,16 +30,17 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(data)], strict=True))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """Each row of docs with ``___spans array<long>``, from ``spans(doc_id, key, spans)``; null where it has none."""
-    own = docs.withColumn("__key", row_key(text_column))
-    found = spans.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__of"), F.col("spans").alias("__spans"))
-    return own.join(found, (own[id_column] == found["__doc"]) & (own["__key"] == found["__of"]), "left").drop("__doc", "__of", "__key")
+def with_spans(docs: DataFrame, spans: DataFrame, name: str = "__spans", bits: int = 19) -> DataFrame:
+    """Each row of docs with ``name array<long>`` (docs has none of that name), from ``spans(doc_id, key, spans)``; null where it has none."""
+    key, doc, of = free_names(docs.withColumn(name, F.lit(0)), "__key", "__doc", "__of")
+    own = docs.withColumn(key, row_key(bits))
+    found = spans.select(F.col("doc_id").alias(doc), F.col("key").alias(of), F.col("spans").alias(name))
+    return own.join(found, (own["doc_id"] == found[doc]) & (own[key] == found[of]), "left").drop(doc, of, key)
 
 
-def row_key(text_column: str = "text"):
-    """19 bits of the text, to tell apart rows that carry one id but different texts."""
-    return F.xxhash64(F.coalesce(F.col(text_column), F.lit(""))).bitwiseAND(0x7FFFF)
+def row_key(bits: int = 19) -> Column:
+    """So many bits of the text's hash, to tell apart rows that carry one id but different texts."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -58,15 +61,15 @@ def digests(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "__spans").mapInArrow(run, CUT)
 
 
-def cut_text(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """docs without ``__spans``, its texts cut; a text that had no span (null included) stays as it was."""
-    out = docs.drop("__spans").schema
+def cut_text(docs: DataFrame, name: str) -> DataFrame:
+    """docs without the spans of that name, its texts cut; a text that had no span (null included) stays as it was."""
+    out = docs.drop(name).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column(text_column).to_pylist(), batch.column("__spans").to_pylist()
+            texts, spans = batch.column("text").to_pylist(), batch.column(name).to_pylist()
             cut = [without(t.encode("utf-8", "replace"), merged(s)).decode("utf-8", "ignore") if s and t is not None else t for t, s in zip(texts, spans, strict=True)]
-            cols = {n: batch.column(n) for n in out.names} | {text_column: pa.array(cut, pa.string())}
+            cols = {n: batch.column(n) for n in out.names} | {"text": pa.array(cut, pa.string())}
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
-    return docs.select(*out.names, "__spans").mapInArrow(run, out)
+    return docs.select(*out.names, name).mapInArrow(run, out)

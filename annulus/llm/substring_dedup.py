@@ -17,10 +17,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm.common import Scratch
-from annulus.llm.spans import cut_text, digests, row_key, with_spans
+from annulus.llm.common import Scratch, free_names
+from annulus.llm.spans import cut_text, digests, merged, row_key, with_spans
 
-MIN_BYTES, MAX_BYTES, MIN_RUN = 32, 512, 50
+MIN_BYTES, MAX_BYTES, MIN_RUN, KEY_BITS = 32, 512, 50, 31
 MASK = np.uint16(0b1111_1000_0000_0000)
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 1) & 0xFFFF for b in range(256)], np.uint16)
 CHUNKS = "h1 long, h2 long, doc_id long, at long, length int"
@@ -77,7 +77,7 @@ def chunks(docs: DataFrame, min_bytes: int = MIN_BYTES, max_bytes: int = MAX_BYT
                 [*(pa.array(c, pa.int64()) for c in cols), pa.array(np.concatenate(lengths or [np.zeros(0)]).astype(np.int32))], ["h1", "h2", "doc_id", "at", "length"]
             )
 
-    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), "text")
+    named = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), row_key(KEY_BITS).alias("key"), "text")
     return named.mapInArrow(run, CHUNKS)
 
 
@@ -95,21 +95,18 @@ def repeated_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, max_bytes: int =
     again = again.select("doc_id", F.shiftright("at", 32).alias("key"), (F.shiftleft(start, 32) + start + F.col("length")).alias("span"))
     spans = scratch.keep(again.groupBy("doc_id", "key").agg(F.collect_list("span").alias("spans")), "spans")
     scratch.drop("shared")
-    return spans.withColumn("spans", long_runs(F.col("spans"), min_run)).where(F.size("spans") > 0)
+    return long_runs(spans, min_run)
 
 
-def long_runs(spans, min_run: int):
-    """Joins spans that touch and keeps runs of min_run bytes or more."""
-    low = F.lit(0xFFFFFFFF)
-    grown = F.aggregate(
-        F.array_sort(spans),
-        F.array().cast("array<long>"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1)).bitwiseAND(low) == F.shiftright(x, 32)),
-            F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.try_element_at(acc, F.lit(-1)) - F.try_element_at(acc, F.lit(-1)).bitwiseAND(low) + x.bitwiseAND(low))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.filter(grown, lambda x: x.bitwiseAND(low) - F.shiftright(x, 32) >= min_run)
+def long_runs(spans: DataFrame, min_run: int) -> DataFrame:
+    """``(doc_id, key, spans)`` with spans that touch joined, runs of min_run bytes or more alone, and no row without any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            joined = [[a << 32 | b for a, b in merged(x, min_run)] for x in batch.column("spans").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(joined, pa.list_(pa.int64()))], ["doc_id", "key", "spans"])
+
+    return spans.select("doc_id", "key", "spans").mapInArrow(run, "doc_id long, key long, spans array<long>").where(F.size("spans") > 0)
 
 
 def substring_dedup(docs: DataFrame, **options: int) -> DataFrame:
@@ -118,11 +115,12 @@ def substring_dedup(docs: DataFrame, **options: int) -> DataFrame:
     Null and empty texts stay as they are. Rows with a null doc_id are returned whole. Of a repeated row (same
     doc_id and text) every copy is cut alike. n_chars, where docs has it, is set to the new length.
     """
-    cut = cut_text(with_spans(docs, repeated_spans(docs.select("doc_id", "text"), **options)))
+    (name,) = free_names(docs, "spans")
+    cut = cut_text(with_spans(docs, repeated_spans(docs.select("doc_id", "text"), **options), name, KEY_BITS), name)
     return cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else cut
 
 
 def substring_report(docs: DataFrame, **options: int) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans and kept_sha256 (null text: no bytes)."""
     slim = docs.select("doc_id", "text")
-    return digests(with_spans(slim, repeated_spans(slim, **options)))
+    return digests(with_spans(slim, repeated_spans(slim, **options), bits=KEY_BITS))
