@@ -37,15 +37,27 @@ def shuffles_freed(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Inside, Spark hands Python workers so many rows at a time at most."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name, "10000")
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 class Scratch:
     """Tables written below the shared folder, so that later jobs neither recompute nor depend on one executor."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return it as read from there."""
-        with shuffles_freed(self.spark):
+    def keep(self, df: DataFrame, name: str, rows: int = 10_000) -> DataFrame:
+        """Write ``df`` and return it as read from there; rows: to a batch of its Python workers."""
+        with shuffles_freed(self.spark), batches_of(self.spark, rows):
             df.write.option("compression", "zstd").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
