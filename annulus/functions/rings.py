@@ -200,6 +200,14 @@ def convex_hull_size(ring: Column) -> Column:
     return F.size(F.filter(F.arrays_zip(before.alias("p"), ring.alias("v"), rotated(ring).alias("n")), lambda t: cross(t) * way > 0))
 
 
+def convex_corners(ring: Column) -> Column:
+    """Whether the ring turns the way it runs, for each vertex."""
+    way = F.signum(signed_area(ring))
+    before = F.concat(F.slice(ring, F.lit(-1), F.lit(1)), F.slice(ring, F.lit(1), F.size(ring) - 1))
+    cross = lambda t: (t["v"]["x"] - t["p"]["x"]) * (t["n"]["y"] - t["v"]["y"]) - (t["v"]["y"] - t["p"]["y"]) * (t["n"]["x"] - t["v"]["x"])
+    return F.transform(F.arrays_zip(before.alias("p"), ring.alias("v"), rotated(ring).alias("n")), lambda t: cross(t) * way > 0)
+
+
 def edge_lengths(ring: Column) -> Column:
     return F.transform(edges(ring), lambda e: F.sqrt(F.pow(e["b"]["x"] - e["a"]["x"], 2) + F.pow(e["b"]["y"] - e["a"]["y"], 2)))
 
@@ -274,3 +282,69 @@ def hausdorff(a: Column, b: Column, share: float = 1.0) -> Column:
 
 
 FULL_TURN = 2 * math.pi
+
+
+def strip_closing_vertex(ring: Column, eps: float = 1.0) -> Column:
+    """Without the last vertex where it is nearer than eps to the first, by the sum of both differences."""
+    first, last = F.element_at(ring, 1), F.element_at(ring, -1)
+    near = F.abs(first["x"] - last["x"]) + F.abs(first["y"] - last["y"]) < eps
+    return F.when((F.size(ring) > 1) & near, F.slice(ring, F.lit(1), F.size(ring) - 1)).otherwise(ring)
+
+
+def scale_to_window(ring: Column, width: float, height: float, window: int) -> Column:
+    """Whole coordinates in a square window, half to even, clipped, without repeats; null for fewer than three vertices."""
+    whole = lambda v, size: F.greatest(F.lit(0.0), F.least(F.lit(window - 1.0), F.bround(v * F.lit(window / size))))
+    kept = drop_repeats(mapped(ring, lambda p: whole(p["x"], width), lambda p: whole(p["y"], height)))
+    return F.when(F.size(kept) >= 3, kept)
+
+
+def on_boundary(ring: Column, px: Column, py: Column) -> Column:
+    def touches(e):
+        a, b = e["a"], e["b"]
+        level = (b["x"] - a["x"]) * (py - a["y"]) == (b["y"] - a["y"]) * (px - a["x"])
+        return level & px.between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"])) & py.between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"]))
+
+    return F.exists(edges(ring), touches)
+
+
+def inside(ring: Column, px: Column, py: Column) -> Column:
+    """By an odd number of edges that a ray to the right crosses; points of the boundary may count either way."""
+
+    def crossed(e):
+        a, b = e["a"], e["b"]
+        return ((a["y"] > py) != (b["y"] > py)) & (px < (b["x"] - a["x"]) * (py - a["y"]) / F.when(a["y"] == b["y"], F.lit(1.0)).otherwise(b["y"] - a["y"]) + a["x"])
+
+    return F.size(F.filter(edges(ring), crossed)) % 2 == 1
+
+
+def covers(exterior: Column, holes: Column, px: Column, py: Column) -> Column:
+    """Whether the polygon holds the point, its boundary (of holes too) included."""
+    bound = F.exists(F.concat(F.array(exterior), holes), lambda r: on_boundary(r, px, py))
+    return bound | (inside(exterior, px, py) & ~F.exists(holes, lambda r: inside(r, px, py)))
+
+
+def same_outline(a: Column, b: Column, tol: float = 0.02, vertices: int = 4) -> Column:
+    """As many vertices, and the first ones nearer than tol in both directions."""
+    near = lambda p, q: (F.abs(p["x"] - q["x"]) < tol) & (F.abs(p["y"] - q["y"]) < tol)
+    first = F.zip_with(F.slice(a, F.lit(1), F.lit(vertices)), F.slice(b, F.lit(1), F.lit(vertices)), near)
+    return (F.size(a) == F.size(b)) & F.forall(first, lambda x: F.coalesce(x, F.lit(False)))
+
+
+def best_roll(a: Column, b: Column) -> Column:
+    """struct<cost, shift>: by how much to roll b so that its vertices are nearest those of a; ties to the smaller shift.
+
+    Rings of one size; of their shifts the last is not tried.
+    """
+    n = F.size(b)
+    cost = lambda s: total(F.zip_with(a, F.concat(F.slice(b, s + 1, n), F.slice(b, F.lit(1), s)), lambda p, q: F.hypot(p["x"] - q["x"], p["y"] - q["y"])))
+    return F.array_min(F.transform(F.sequence(F.lit(0), F.greatest(n - 2, F.lit(0))), lambda s: F.struct(cost(s).alias("cost"), s.alias("shift"))))
+
+
+def polis_single(a: Column, b: Column) -> Column:
+    """Distances of each ring's vertices to the other's boundary, summed and divided by twice the closed ring's vertices."""
+
+    def one_way(p, q):
+        near = F.transform(p, lambda v: F.array_min(F.transform(edges(q), lambda e: point_segment(v["x"], v["y"], e))))
+        return total(near) / (2 * (F.size(p) + 1))
+
+    return one_way(a, b) + one_way(b, a)

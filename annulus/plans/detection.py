@@ -61,9 +61,9 @@ def overlap_ratios(spark, sf_dir):
     return pairs.select("ann_id", "pred_id", (inter / F.greatest(F.least("g_area", "p_area"), F.lit(1e-8))).alias("overlap_small"), (inter / F.col("g_area")).alias("iof"))
 
 
-@query(f"""{SQL}, hull AS (SELECT g.ann_id, p.pred_id, (greatest(g.x1, p.x1) - least(g.x0, p.x0)) * (greatest(g.y1, p.y1) - least(g.y0, p.y0)) AS hull
-  FROM gt g JOIN pred p USING (image_id))
-SELECT ann_id, pred_id, iou - (hull - (g_area + p_area - inter))::DOUBLE / hull AS giou FROM ious JOIN hull USING (ann_id, pred_id)""")
+@query(f"""{SQL}, h AS (SELECT ann_id, pred_id, (g.x1-g.x0)*(g.y1-g.y0) + (p.x1-p.x0)*(p.y1-p.y0) AS both_areas, (least(g.x1, p.x1) - greatest(g.x0, p.x0)) * (least(g.y1, p.y1) - greatest(g.y0, p.y0)) AS inter,
+  (greatest(g.x1, p.x1) - least(g.x0, p.x0)) * (greatest(g.y1, p.y1) - least(g.y0, p.y0)) AS hull FROM gt g JOIN pred p ON g.image_id = p.image_id AND g.x0 < p.x1 AND p.x0 < g.x1 AND g.y0 < p.y1 AND p.y0 < g.y1)
+SELECT ann_id, pred_id, inter::DOUBLE / (both_areas - inter) - (hull - (both_areas - inter))::DOUBLE / hull AS giou FROM h""")
 def generalised_iou(spark, sf_dir):
     pairs = D.iou_pairs(gt_boxes(spark, sf_dir), pred_boxes(spark, sf_dir))
     c = F.col

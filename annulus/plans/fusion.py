@@ -119,9 +119,9 @@ def vertex_heatmap(spark, sf_dir):
 
 
 @query(f"""{HEAT_SQL}, p AS (SELECT h.image_id, h.y, h.x, h.d2, min(n.d2) AS near FROM heat h JOIN heat n ON n.image_id = h.image_id AND n.y BETWEEN h.y - 1 AND h.y + 1 AND n.x BETWEEN h.x - 1 AND h.x + 1 WHERE h.d2 = 0 GROUP BY ALL)
-SELECT image_id, y, x, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS place FROM p WHERE near = d2 QUALIFY place <= 50""")
-def heatmap_peaks(spark, sf_dir, least: float = 0.7, most: int = 50):
-    """The 50 greatest peaks of each image over 0.7: cells that no neighbour exceeds; ties by y, then x."""
+SELECT image_id, y, x, row_number() OVER (PARTITION BY image_id ORDER BY y, x) AS place FROM p WHERE near = d2 QUALIFY place <= 300""")
+def heatmap_peaks(spark, sf_dir, least: float = 0.7, most: int = 300):
+    """The 300 greatest peaks of each image over 0.7: cells that no neighbour exceeds; ties by y, then x."""
     near = lambda key, by: W.partitionBy("image_id", key).orderBy(by).rangeBetween(-1, 1)
     cells = vertex_distances(gt_boxes(spark, sf_dir)).withColumn("row", F.min("d2").over(near("y", "x")))
     # the least of a 3 x 3 square is the least of its rows' least; a row's is asked at its own middle cell

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from annulus.functions import rings as R
+from annulus.operators import detection as D
 from annulus.registry import query
 from annulus.sources.boxes import INSET, SQL, gt_boxes, polygons, pred_boxes
 
@@ -79,12 +80,19 @@ def filtered_images(spark, sf_dir):
     return kept.groupBy("image_id").agg(F.count("*").alias("kept")).where("kept >= 2")
 
 
-@query(f"""{SQL}, c AS (SELECT DISTINCT ann_id % 5 AS class, image_id FROM gt), r AS (SELECT class, image_id, row_number() OVER (PARTITION BY class ORDER BY (image_id * 7919) % 10007, image_id) AS turn FROM c) SELECT class, image_id, (turn - 1) * 5 + class AS place FROM r WHERE turn <= 8""")
-def class_balanced_plan(spark, sf_dir):
-    """Eight images for each class, classes in turn, by the order of a fixed hash."""
-    c = gt_boxes(spark, sf_dir).select((C("ann_id") % 5).alias("class"), "image_id").distinct()
-    turn = F.row_number().over(W.partitionBy("class").orderBy((C("image_id") * 7919) % 10007, "image_id"))
-    return c.withColumn("turn", turn).where("turn <= 8").select("class", "image_id", ((C("turn") - 1) * 5 + C("class")).alias("place"))
+@query(f"""{SQL}, c AS (SELECT DISTINCT ann_id % 17 AS class, image_id FROM gt), r AS (SELECT class, image_id, row_number() OVER (PARTITION BY class ORDER BY (image_id * 7919) % 10007, image_id) - 1 AS i, count(*) OVER (PARTITION BY class) AS own FROM c),
+t AS (SELECT count(DISTINCT image_id) AS total, ceil(count(DISTINCT image_id) / 17.0)::BIGINT AS turns FROM gt), n AS (SELECT unnest(range(0, turns)) AS turn, total FROM t)
+SELECT r.class, r.image_id, turn * 17 + r.class AS place FROM n JOIN r ON r.i = turn % r.own WHERE turn * 17 + r.class < total""")
+def class_balanced_plan(spark, sf_dir, classes: int = 17):
+    """As many places as there are images, classes in turn; each class goes through its images by the order of a fixed hash,
+    and from the first again when they are used up."""
+    c = gt_boxes(spark, sf_dir).select((C("ann_id") % classes).alias("class"), "image_id").distinct()
+    ranked = D.running_counts(c.withColumn("_one", F.lit(1)), ["class"], [(C("image_id") * 7919) % 10007, C("image_id")], (C("image_id") * 7919) % 10007, "_one")
+    sizes = c.groupBy("class").agg(F.count("*").alias("own")).join(F.broadcast(c.agg(F.count_distinct("image_id").alias("total"))))  # a row for each class, met by one row
+    times = F.sequence(F.lit(0).cast("long"), F.ceil((F.ceil(C("total") / classes) - (C("n") - 1)) / C("own")) - 1)
+    due = ranked.join(F.broadcast(sizes), "class").where(C("n") - 1 < F.ceil(C("total") / classes))
+    turn = C("n") - 1 + C("again") * C("own")
+    return due.withColumn("again", F.explode(times)).select("class", "image_id", (turn * classes + C("class")).alias("place"), "total").where("place < total").drop("total")
 
 
 @query(f"""{SQL}, s AS (SELECT image_id % 3 AS source, image_id, row_number() OVER (PARTITION BY image_id % 3 ORDER BY image_id) - 1 AS i FROM (SELECT DISTINCT image_id FROM gt)) SELECT source, image_id, i // (source + 1) AS batch FROM s""")
