@@ -51,26 +51,54 @@ def greedy_match(pairs: DataFrame, pred: DataFrame, thresholds: list[float]) ->
     A prediction is true where its best ground truth reaches the threshold and no prediction before it (score
     descending, then image_id and pred_id) has that best one too. One whose best is taken is false.
     """
+    each = F.explode(F.arrays_zip(F.array(*[F.lit(t) for t in thresholds]).alias("threshold"), F.array(*_hits(thresholds)).alias("tp")))
+    return _with_rivals(pairs, pred).select("image_id", "pred_id", "score", "ann_id", each.alias("m")).select("m.threshold", "image_id", "pred_id", "score", "ann_id", "m.tp")
+
+
+def _with_rivals(pairs: DataFrame, pred: DataFrame) -> DataFrame:
+    """Each prediction with its best ground truth and ``rival``, the greatest IoU of those before it with the same best one."""
     every = pred.select("image_id", "pred_id", "score").join(best_gt(pairs).select("image_id", "pred_id", "ann_id", "iou"), ["image_id", "pred_id"], "left")
-    dealt = every.withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
-    reached = F.coalesce(F.col("iou") >= F.col("threshold"), F.lit(False))
-    first = F.row_number().over(W.partitionBy("threshold", "image_id", F.when(reached, F.col("ann_id")).otherwise(-F.col("pred_id")), reached).orderBy(F.desc("score"), "pred_id")) == 1
-    return dealt.select("threshold", "image_id", "pred_id", "score", "ann_id", (reached & first).alias("tp"))
+    before = W.partitionBy("image_id", F.coalesce("ann_id", -F.col("pred_id")), F.col("ann_id").isNull()).orderBy(F.desc("score"), "pred_id").rowsBetween(W.unboundedPreceding, -1)
+    return every.withColumn("rival", F.max("iou").over(before))
+
+
+def _hits(thresholds: list[float]) -> list[Column]:
+    """True at a threshold that the own IoU reaches and no rival's does."""
+    return [F.coalesce(F.col("iou") >= t, F.lit(False)) & ~F.coalesce(F.col("rival") >= t, F.lit(False)) for t in thresholds]
+
+
+def average_precisions(pairs: DataFrame, pred: DataFrame, thresholds: list[float], gt: DataFrame) -> DataFrame:
+    """threshold, ap of greedy matches: predictions are matched, numbered and summed up once for all thresholds."""
+    names = [f"h{i}" for i in range(len(thresholds))]
+    rows = _with_rivals(pairs, pred).select("image_id", "pred_id", "score", *[h.cast("long").alias(n) for h, n in zip(_hits(thresholds), names, strict=True)])
+    order = [F.desc("score"), F.col("image_id"), F.col("pred_id")]
+    counted = running_sums(rows, [], order, -F.floor(F.col("score") * 1000), names)
+    each = F.array(*[F.struct(F.lit(t).alias("threshold"), F.col(f"sum_{n}").alias("tps")) for t, n in zip(thresholds, names, strict=True)])
+    curve = counted.select("n", F.explode(each).alias("c")).join(F.broadcast(gt.agg(F.count("*").alias("n_gt"))))  # a row
+    ratios = {"precision": F.col("c.tps").cast("double") / F.col("n"), "recall": F.col("c.tps").cast("double") / F.col("n_gt")}
+    return average_precision(curve.withColumns(ratios).select("c.threshold", "precision", "recall"), ["threshold"])
 
 
 def running_counts(rows: DataFrame, groups: list[str], order: list[Column], bucket: Column, value: str) -> DataFrame:
-    """rows with ``n`` and ``sum_value``: how many rows, and what sum, up to each in the given order.
+    """rows with ``n`` and ``sum_value``: how many rows, and what sum, up to each in the given order. See running_sums."""
+    return running_sums(rows, groups, order, bucket, [value]).withColumnRenamed(f"sum_{value}", "sum_value")
+
+
+def running_sums(rows: DataFrame, groups: list[str], order: list[Column], bucket: Column, values: list[str]) -> DataFrame:
+    """rows with ``n`` and a ``sum_`` of each value: how many rows, and what sums, up to each in the given order.
 
     bucket must rise with the order; rows are numbered inside a bucket, and bucket totals are summed up apart, so no
     window holds more than a bucket of a group.
     """
     dealt = rows.withColumn("_k", bucket)
-    totals = dealt.groupBy(*groups, "_k").agg(F.count("*").alias("_n"), F.sum(value).alias("_s"))
+    totals = dealt.groupBy(*groups, "_k").agg(F.count("*").alias("_n"), *[F.sum(v).alias(f"_s_{v}") for v in values])
     before = W.partitionBy(*groups).orderBy("_k").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select(*groups, "_k", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_s"))
+    above = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0)).alias(c)
+    totals = totals.select(*groups, "_k", above("_n"), *[above(f"_s_{v}") for v in values])
     own = W.partitionBy(*groups, "_k").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    joined = dealt.withColumns({"_r": F.count("*").over(own), "_v": F.sum(value).over(own)}).join(totals, [*groups, "_k"])
-    return joined.withColumns({"n": F.col("_n") + F.col("_r"), "sum_value": F.col("_s") + F.col("_v")}).drop("_k", "_n", "_s", "_r", "_v")
+    joined = dealt.withColumns({"_r": F.count("*").over(own)} | {f"_v_{v}": F.sum(v).over(own) for v in values}).join(totals, [*groups, "_k"])
+    sums = {"n": F.col("_n") + F.col("_r")} | {f"sum_{v}": F.col(f"_s_{v}") + F.col(f"_v_{v}") for v in values}
+    return joined.withColumns(sums).drop("_k", "_n", "_r", *[f"_{k}_{v}" for k in "sv" for v in values])
 
 
 def precision_recall(matches: DataFrame, groups: list[str], totals: DataFrame) -> DataFrame:

@@ -116,18 +116,15 @@ def greedy_matches(spark, sf_dir):
 
 @query(f"{MATCH_SQL}, totals AS (SELECT threshold, n_gt FROM (SELECT unnest([{IN_SQL}])::DOUBLE AS threshold), (SELECT count(*) AS n_gt FROM gt))" + AP_SQL.format(g="threshold", m="m4"))
 def poly_ap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, gt, _ = matches(spark, sf_dir)
-    totals = each_threshold(gt.agg(F.count("*").alias("n_gt")))
-    return D.average_precision(D.precision_recall(found, ["threshold"], totals), ["threshold"]).select("threshold", F.round("ap", 9).alias("ap"))
+    gt, pred = gt_boxes(spark, sf_dir), pred_boxes(spark, sf_dir)
+    return D.average_precisions(D.iou_pairs(gt, pred), pred, THRESHOLDS, gt).select("threshold", F.round("ap", 9).alias("ap"))
 
 
 @query(f"""{MATCH_SQL.replace('ious GROUP', 'framed_ious GROUP').replace(SQL, FRAMED_SQL)},
 totals AS (SELECT threshold, n_gt FROM (SELECT unnest([{IN_SQL}])::DOUBLE AS threshold), (SELECT count(*) AS n_gt FROM gt))""" + AP_SQL.format(g="threshold", m="m4"))
 def poly_ap_with_holes(spark, sf_dir):
     gt, pred = gt_boxes(spark, sf_dir), pred_boxes(spark, sf_dir)
-    found = D.greedy_match(framed_pairs(gt, pred), pred, THRESHOLDS)
-    totals = each_threshold(gt.agg(F.count("*").alias("n_gt")))
-    return D.average_precision(D.precision_recall(found, ["threshold"], totals), ["threshold"]).select("threshold", F.round("ap", 9).alias("ap"))
+    return D.average_precisions(framed_pairs(gt, pred), pred, THRESHOLDS, gt).select("threshold", F.round("ap", 9).alias("ap"))
 
 
 @query(f"""{MATCH_SQL}, s AS (SELECT threshold, sum(tp::INT)::BIGINT AS tp, sum((NOT tp)::INT)::BIGINT AS fp, (SELECT count(*) FROM gt) - sum(tp::INT)::BIGINT AS fn FROM m4 GROUP BY threshold)
