@@ -17,10 +17,13 @@ from pyspark.sql import Window as W
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the cluster's checkpoint folder; a local one only where none is set."""
+    """df written to the cluster's checkpoint folder; in local mode alone, to one of our own where none is set."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="annulus-"))
+        shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="annulus-"))
     return df.checkpoint()
 
 
