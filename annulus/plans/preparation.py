@@ -99,8 +99,8 @@ def class_balanced_plan(spark, sf_dir, classes: int = 17):
 def source_ratio_plan(spark, sf_dir):
     """Batches that take one, two and three images of the three sources."""
     s = gt_boxes(spark, sf_dir).select("image_id").distinct().withColumn("source", C("image_id") % 3)
-    i = F.row_number().over(W.partitionBy("source").orderBy("image_id")) - 1
-    return s.withColumn("i", i).select("source", "image_id", F.expr("i div (source + 1)").alias("batch"))
+    placed = D.running_counts(s.withColumn("_one", F.lit(1)), ["source"], [C("image_id")], F.expr("image_id div 4096"), "_one")  # no window over a whole source
+    return placed.select("source", "image_id", F.expr("(n - 1) div (source + 1)").alias("batch"))
 
 
 @query(f"""{SQL}, t AS (SELECT DISTINCT image_id // 4 AS tile FROM gt) SELECT tile, CASE WHEN tile % 10 < 7 THEN 'train' ELSE 'val' END AS fold, 'tile' || tile || '.tif' AS name FROM t""")
