@@ -162,7 +162,8 @@ def decode_ids(ids: str, path: str) -> bytes:
 def token_report(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """For each row of docs: doc_id, n_tokens, ids_sha256 and decoded_sha256. A null text is empty: no tokens.
 
-    Rows are taken one by one, so repeated rows, null ids and other columns change nothing.
+    Rows are taken one by one, so repeated rows, null ids and other columns change nothing. An empty table gives an empty
+    result. A text of any length is encoded piece by piece, its ids held by one task as one string.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -294,7 +294,8 @@ def pack(docs: DataFrame, path: str, pattern: str, capacity: int = CAPACITY, sma
     """Packs every row of docs: doc_id, piece, start, length, ids_crc32, sequence_id and offset (and ids) per piece.
 
     A null or empty text is the single token 0. Repeated rows are packed each for itself, also rows with a null
-    doc_id. An empty table gives an empty result. Other columns of docs are ignored. For ``added`` see token_ids.
+    doc_id. An empty table gives an empty result. Other columns of docs are ignored. For ``added`` see token_ids. A text of
+    any length is held by one task with its ids, 4 bytes each, and cut into pieces there.
     """
     scratch = Scratch(docs.sparkSession, "packing")
     cut = pieces(docs, path, pattern, capacity, with_ids, added)

@@ -147,7 +147,9 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, rows: int = ROWS)
 def scores(docs: DataFrame, model: dict | None) -> DataFrame:
     """``(doc_id, score, predicted)`` for each row of docs, from its text alone.
 
-    Null and empty texts are scored as texts without words. Without a model every score is 0.5.
+    Null and empty texts are scored as texts without words. Without a model every score is 0.5. Rows are scored one by one, so
+    repeated rows and null ids change nothing; other columns are ignored, an empty table gives an empty result. Features are
+    counted over the whole text, which one task holds.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
