@@ -233,3 +233,25 @@ def test_anchors_of_segments_are_those_of_the_whole():
     held = np.cumsum(held)
     for begin, t in zip(begins, texts, strict=True):
         assert (held[begin : begin + max(0, len(t) - 49)] > 0).all()
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_near_copies_among_texts_with_a_common_passage(spark, rounds, monkeypatch):
+    from annulus.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "ROUNDS", rounds)
+    r = random.Random(rounds)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    passage = [word() for _ in range(60)]
+    texts = []
+    for _ in range(40):
+        own = [word() for _ in range(r.choice([10, 30, 60]))]
+        texts.append(" ".join(passage + own))
+        if r.random() < 0.5:
+            texts.append(" ".join([*passage, *own, *[word() for _ in range(r.randint(1, 20))]]))
+    sets = [set(near_copies.shingles(t).tolist()) for t in texts]
+    links = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets)) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    want = [i for i, root in rooted(links, range(len(texts))).items() if i == root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = near_copies.drop_near_copies(docs, small_bucket=2).collect()
+    assert sorted(x.doc_id for x in got) == want and 10 < len(links) < 400 and len(want) > 20
