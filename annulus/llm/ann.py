@@ -1,7 +1,7 @@
 """Nearest neighbours by block matrix join.
 
-Candidates are dealt into blocks of about ``block`` rows, queries into blocks of ``query_block``; every two meet in one
-task. int8 products with their error bounds give each distance a lower and an upper bound. A candidate survives where
+Candidates and queries are dealt into blocks of about two million components (or ``block`` and ``query_block`` rows);
+every two meet in one task. int8 products with their error bounds give each distance a lower and an upper bound. A candidate survives where
 its lower bound is at most the query's k-th least upper bound; survivors are recomputed in double precision, a heap
 keeps each query's k nearest of the tile, and the tiles' short lists are merged by Spark's top-k in each group,
 which drops rows beyond k before and after the shuffle. The result is exact.
@@ -17,9 +17,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from annulus.llm.vectors import matrix, prepared, product, quantised
+from annulus.llm.vectors import block_count, matrix, prepared, product, quantised
 
-K, BLOCK, QUERIES, ROWS = 10, 8192, 1024, 256
+K, ROWS = 10, 64
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -46,7 +46,7 @@ def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: n
     return out
 
 
-def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, block: int = BLOCK, query_block: int = QUERIES) -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, block: int | None = None, query_block: int | None = None) -> DataFrame:
     """For each row of ``vectors(vec_id, embedding)`` where ``queries`` holds: query_id, rank (from 1), vec_id, score.
 
     score is the Euclidean distance in double precision; candidates are all rows of another vec_id, of which the k
@@ -56,7 +56,9 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, block: i
     """
     rows = prepared(vectors).dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "v", "dim")
     asked = prepared(vectors.where(queries)).dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "v", "dim")
-    blocks, query_blocks = (max(1, -(-n // size)) for n, size in ((vectors.count(), block), (vectors.where(queries).count(), query_block)))
+    (n, dim), asked_n = rows.agg(F.count("*"), F.max("dim")).first(), asked.count()
+    blocks = max(1, -(-n // block)) if block else block_count(n, dim or 1, vectors.sparkSession.sparkContext.defaultParallelism)
+    query_blocks = max(1, -(-asked_n // query_block)) if query_block else block_count(asked_n, dim or 1, 1)
     right = rows.withColumn("b", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
     left = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
 

@@ -1,7 +1,7 @@
 """Embedding near-dedup by int8 tile products.
 
 Equal vectors are one class, so a class of many copies is compared once. Classes are dealt into blocks of about
-``block`` rows, and every two blocks meet in one task. There, unit vectors are quantised to int8 with a scale each;
+two million components (or ``block`` rows), and every two blocks meet in one task. There, unit vectors are quantised to int8 with a scale each;
 with x = s q + e, the product of two differs from s s' q q' by at most |e'| + |e| (1 + |e'|). Only pairs that could
 reach the threshold under this bound are recomputed in double precision from the original components. A tile returns
 each vector's number of links and one link to its group within the tile, not the pairs; groups of tiles are then
@@ -10,6 +10,8 @@ joined by connected components.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,9 +19,9 @@ from pyspark.sql import functions as F
 
 from annulus.llm.common import Scratch
 from annulus.llm.components import connected_components
-from annulus.llm.vectors import matrix, prepared, product, quantised
+from annulus.llm.vectors import block_count, matrix, prepared, product, quantised
 
-THRESHOLD, BLOCK, ROWS, PAIRS = 0.95, 8192, 1024, 1 << 16
+THRESHOLD, ROWS, PAIRS = 0.95, 256, 1 << 16
 SLACK = 1e-5  # more than float32 products of scales and double rounding can be off
 LINKED = pa.schema([("vec_id", pa.int64()), ("n", pa.int64()), ("to", pa.int64())])
 
@@ -85,7 +87,7 @@ def _tile(threshold: float):
     return run
 
 
-def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block: int | None = None) -> DataFrame:
     """``vectors(vec_id, embedding)`` -> vec_id, n_links, component_id and kept, a row for each row.
 
     n_links counts the other vectors at cosine >= threshold, copies included. Vectors that are null, zero or hold null
@@ -98,7 +100,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     rows = scratch.keep(prepared(vectors).dropDuplicates(["vec_id", "k1", "k2"]), "rows")
     classes = rows.groupBy("k1", "k2").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("size"))
     firsts = rows.join(classes.select("k1", "k2", "vec_id", "size"), ["k1", "k2", "vec_id"])
-    number = max(1, -(-rows.count() // block))
+    size, dim = classes.count(), rows.agg(F.max("dim")).first()[0] or 1
+    number = max(1, -(-size // block)) if block else block_count(size, dim, math.isqrt(2 * spark.sparkContext.defaultParallelism) + 1)
     firsts = scratch.keep(firsts.select("vec_id", "size", "v", "dim", F.pmod(F.xxhash64("vec_id"), F.lit(number)).cast("int").alias("b")), "firsts")
     sides = [
         firsts.withColumn("bi", F.col("b")).withColumn("bj", F.explode(F.sequence(F.col("b"), F.lit(number - 1)))),

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+VALUES, FEWEST = 1 << 21, 1024  # components of a block at most; rows below which a block isn't split for more tasks
 EXACT_DIMS = 1000  # 1000 * 127 * 127 < 2 ** 24: sums of int8 products are whole in float32
 
 
@@ -17,15 +18,25 @@ def usable(vector: Column) -> Column:
 
 
 def prepared(vectors: DataFrame) -> DataFrame:
-    """``vectors(vec_id, embedding)`` -> usable rows (vec_id long, v array<double>, dim, k1, k2); k1 and k2 identify v."""
-    v = F.transform("embedding", lambda x: x.cast("double") + F.lit(0.0))  # -0.0 becomes 0.0
+    """``vectors(vec_id, embedding)`` -> usable rows (vec_id long, v, dim, k1, k2); k1 and k2 identify v.
+
+    v is array<float> where embedding is, which loses nothing and halves what travels, else array<double>.
+    """
+    kind = "float" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "double"
+    v = F.transform("embedding", lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # -0.0 becomes 0.0
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     return rows.withColumns({"dim": F.size("v"), "k1": F.xxhash64("v"), "k2": F.xxhash64(F.lit("second"), F.col("v"))})
 
 
+def block_count(n: int, dim: int, enough: int) -> int:
+    """Blocks of about VALUES components at most; more, up to ``enough``, while they have FEWEST rows."""
+    return max(1, -(-n * dim // VALUES), min(-(-n // FEWEST), enough))
+
+
 def matrix(table: pa.Table, name: str = "v") -> np.ndarray:
+    """The rows' vectors in double precision."""
     column = table.column(name).combine_chunks()
-    values = column.flatten().to_numpy(zero_copy_only=False)
+    values = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     return values.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from annulus.llm.ann import nearest_neighbours
 from annulus.llm.embedding_dedup import embedding_components
-from annulus.llm.vectors import product, quantised
+from annulus.llm.vectors import block_count, product, quantised
 from tests.llm.test_dedup_texts import rooted
 
 SCHEMA = "vec_id long, embedding array<float>, label int, v string, k1 int"
@@ -42,7 +42,7 @@ def test_embedding_components(spark):
     cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b)) if len(a) == len(b) else -1.0
     links = [(a, b) for a in good for b in good if a < b and cos(good[a], good[b]) >= 0.95]
     want = rooted(links, good)
-    for block in (40, 8192):
+    for block in (40, 8192, None):
         got = embedding_components(spark.createDataFrame(data, SCHEMA), block=block).collect()
         assert len(got) == len(data)
         for x in got:
@@ -54,7 +54,7 @@ def test_embedding_components(spark):
 def test_nearest(spark):
     data = rows(3)
     good = {i: np.array(v, float) for i, v, *_ in data if i is not None and usable(v)}
-    for block, queries, k in ((50, 7, 10), (8192, 1024, 3), (8192, 1024, 1000)):
+    for block, queries, k in ((50, 7, 10), (8192, 1024, 3), (None, None, 1000)):
         got = nearest_neighbours(spark.createDataFrame(data, SCHEMA), F.col("vec_id") % 100 == 0, k, block, queries).collect()
         want = {}
         for q in good:
@@ -65,3 +65,14 @@ def test_nearest(spark):
         assert {(x.query_id, x.rank): x.vec_id for x in got} == {key: i for key, (i, _) in want.items()}
         assert all(abs(x.score - want[x.query_id, x.rank][1]) < 1e-12 for x in got)
     assert nearest_neighbours(spark.createDataFrame([], SCHEMA), F.col("vec_id") % 100 == 0).count() == 0
+
+
+def test_vectors_of_doubles_keep_their_precision(spark):
+    near = [[1.0, 0.0], [1.0, 1e-12], [1.0, 3e-12], [0.0, 1.0]]
+    got = nearest_neighbours(spark.createDataFrame(list(enumerate(near)), "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    assert [(x.rank, x.vec_id) for x in got] == [(1, 1), (2, 2), (3, 3)] and got[1].score == 3e-12
+
+
+def test_blocks_are_bounded_by_components():
+    assert block_count(0, 1, 8) == 1 and block_count(500, 64, 8) == 1 and block_count(10_000, 64, 8) == 8
+    assert block_count(5_000_000, 64, 8) == 153 and block_count(5_000_000, 1024, 8) == 2442
