@@ -17,31 +17,45 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from annulus.llm.vectors import block_count, matrix, prepared, product, quantised
+from annulus.llm.vectors import block_count, exponents, matrix, prepared, product, quantised
 
-K, ROWS = 10, 64
+K, ROWS, FAR = 10, 64, 400
 FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
+def distances(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Euclidean distances in double precision; infinite only where the distance itself exceeds the largest double."""
+    with np.errstate(over="ignore"):
+        off = rows - query
+        power = np.where(np.isfinite(off).all(axis=1), exponents(off), 0)
+        off = np.ldexp(off, -power[:, None])
+        return np.ldexp(np.sqrt((off**2).sum(axis=1)), power)
+
+
 def nearest(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, float, int]]:
-    """(query id, distance, row id) of each query's k nearest rows of another id, ties to the smaller id."""
-    (qx, sx, ex), (qy, sy, ey) = quantised(queries), quantised(rows)
-    nx, ny = np.sqrt((queries**2).sum(axis=1)), np.sqrt((rows**2).sum(axis=1))
+    """(query id, distance, row id) of each query's k nearest rows of another id, ties to the smaller id.
+
+    Bounds are of squares divided by the query's power of two; a row larger than the query by ``FAR`` powers or more has a
+    lower bound alone.
+    """
+    px, py = exponents(queries), exponents(rows)
+    x, y = np.ldexp(queries, -px[:, None]), np.ldexp(rows, -py[:, None])
+    (qx, sx, ex), (qy, sy, ey) = quantised(x), quantised(y)
+    nx, ny = np.sqrt((x**2).sum(axis=1)), np.sqrt((y**2).sum(axis=1))
     out = []
     for at in range(0, len(queries), ROWS):
         part = slice(at, at + ROWS)
-        dot = product(qx[part], qy).astype(np.float64) * sx[part, None] * sy
-        off = nx[part, None] * ey + ex[part, None] * (ny + ey)
-        square = nx[part, None] ** 2 + ny**2
-        off = 2 * off + 1e-9 * (square + 1)
-        square -= 2 * dot
+        times = np.ldexp(1.0, np.clip(py - px[part, None], -FAR, FAR))
+        dot = product(qx[part], qy).astype(np.float64) * sx[part, None] * (sy * times)
+        squares = nx[part, None] ** 2 + (ny * times) ** 2
+        off = 2 * (nx[part, None] * ey + ex[part, None] * (ny + ey)) * times + 1e-9 * squares
         own = query_ids[part, None] == ids
-        square[own] = np.inf
-        high = square + off
+        middle = squares - 2 * dot
+        high = np.where(own | (py - px[part, None] >= FAR), np.inf, middle + off)
         limit = np.partition(high, k - 1, axis=1)[:, k - 1] if high.shape[1] > k else np.full(len(high), np.inf)
         for r, most in enumerate(limit):
-            alive = np.flatnonzero((square[r] - off[r] <= most) & ~own[r])
-            exact = np.sqrt(((rows[alive] - queries[at + r]) ** 2).sum(axis=1))
+            alive = np.flatnonzero((middle[r] - off[r] <= most) & ~own[r])
+            exact = distances(rows[alive], queries[at + r])
             out += [(int(query_ids[at + r]), d, i) for d, i in heapq.nsmallest(k, zip(exact.tolist(), ids[alive].tolist(), strict=True))]
     return out
 
@@ -52,7 +66,8 @@ def nearest_neighbours(vectors: DataFrame, queries: Column, k: int = K, block: i
     score is the Euclidean distance in double precision; candidates are all rows of another vec_id, of which the k
     nearest (all, if fewer) are returned, ties to the smaller vec_id. Rows whose vec_id or vector is null, and vectors
     that are zero or hold null or non-finite components, take no part; vectors of different lengths don't meet. A row
-    repeated whole counts once. An empty table gives an empty result.
+    repeated whole counts once. Finite vectors of any magnitude are searched alike; a distance beyond the largest double
+    is infinite. An empty table gives an empty result.
     """
     rows = prepared(vectors).dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "v", "dim")
     asked = prepared(vectors.where(queries)).dropDuplicates(["vec_id", "k1", "k2"]).select("vec_id", "v", "dim")

@@ -94,12 +94,13 @@ def text_key(text_column: str = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
 
 
-def first_by_hash(rows: DataFrame, key: str, n: int, id_column: str = "doc_id", buckets: int = 64, before: tuple[str, ...] = ()) -> DataFrame:
-    """n rows at most for each value of key, with ``r`` from 1: the first by the columns of before, then a hash of the id.
+def first_by_hash(rows: DataFrame, key: str, n: int, id_column: str = "doc_id", buckets: int = 64, before: tuple[str, ...] = (), after: tuple[str, ...] = ()) -> DataFrame:
+    """n rows at most for each value of key, with ``r`` from 1: the first by the columns of before, a hash of the id, the id and
+    the columns of after.
 
     Buckets of the hash are cut to n first, so the last window gets buckets * n rows of a value at most.
     """
-    order = [*before, F.xxhash64(id_column), F.col(id_column)]
+    order = [*before, F.xxhash64(id_column), F.col(id_column), *after]
     dealt = rows.withColumn("_b", F.pmod(F.xxhash64(id_column, F.lit(1)), F.lit(buckets)))
     few = dealt.withColumn("r", F.row_number().over(W.partitionBy(key, "_b").orderBy(*order))).where(F.col("r") <= n).drop("r", "_b")
     return few.withColumn("r", F.row_number().over(W.partitionBy(key).orderBy(*order))).where(F.col("r") <= n)

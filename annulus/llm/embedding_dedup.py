@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from annulus.llm.common import Scratch
 from annulus.llm.components import connected_components
-from annulus.llm.vectors import block_count, matrix, prepared, product, quantised
+from annulus.llm.vectors import block_count, matrix, prepared, product, quantised, scaled
 
 THRESHOLD, ROWS, PAIRS = 0.95, 256, 1 << 16
 SLACK = 1e-5  # more than float32 products of scales and double rounding can be off
@@ -66,7 +66,7 @@ def _tile(threshold: float):
         if not left.num_rows or not right.num_rows:
             return LINKED.empty_table()
         same = left.column("bi")[0].as_py() == left.column("bj")[0].as_py()
-        x, y = matrix(left), matrix(right)
+        x, y = scaled(matrix(left)), scaled(matrix(right))
         ids = [t.column("vec_id").to_numpy() for t in (left, right)]
         weight = [t.column("size").to_numpy() for t in (left, right)]
         if same:
@@ -93,7 +93,8 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, block
     n_links counts the other vectors at cosine >= threshold, copies included. Vectors that are null, zero or hold null
     or non-finite components, and rows of a null vec_id, link with nothing: n_links 0, component_id their own vec_id.
     Vectors of different lengths don't link. A row that is repeated whole counts once. kept is vec_id = component_id
-    (false for a null vec_id). An empty table gives an empty result; other columns are ignored.
+    (false for a null vec_id). Finite vectors of any magnitude are compared alike: each is divided by a power of two
+    first. An empty table gives an empty result; other columns are ignored.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "embeddings")

@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from annulus.llm.common import first_by_hash, free_names, id_hash
+from annulus.llm.common import first_by_hash, free_names, id_hash, text_key
 
 ROWS, ROW_BYTES, PART, LEVEL = 512, 512, 512, 3
 SCALE, MARGIN, UNKNOWN, LONG = 6.0, 0.02, "und", 200
@@ -37,14 +37,16 @@ def fit(docs: DataFrame, training: Column, rows: int = ROWS, row_bytes: int = RO
     """Dictionary content by language, from the training rows of ``docs(doc_id, text, lang)`` with text and lang.
 
     At most ``rows`` rows for each language and ``row_bytes`` bytes of each come to the driver; ids are picked first,
-    without texts.
+    without texts. Repeated rows count once; rows of one doc_id with other texts are rows like any others, those of a null
+    doc_id are not learned from.
     """
-    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    picked = first_by_hash(known.select("doc_id", "lang", (F.length("text") < LONG).alias("brief")), "lang", rows, before=("brief",))
-    ids = F.broadcast(picked.select("doc_id", F.col("lang").alias("of"), "r"))  # rows for each language, at most
-    found = known.join(ids, (known["doc_id"] == ids["doc_id"]) & (known["lang"] == ids["of"]))
+    known = docs.where(training & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}")).withColumn("own", text_key())
+    each = known.select("doc_id", "lang", "own", (F.length("text") < LONG).alias("brief")).dropDuplicates(["doc_id", "lang", "own"])
+    picked = first_by_hash(each, "lang", rows, before=("brief",), after=("own",))
+    ids = F.broadcast(picked.select("doc_id", "lang", "own", "r"))  # rows for each language, at most
+    found = known.join(ids, ["doc_id", "lang", "own"]).select("doc_id", "lang", "own", "r", F.substring("text", 1, row_bytes).alias("text"))
     out: dict[str, list[tuple]] = {}
-    for x in found.select("lang", "r", F.substring("text", 1, row_bytes).alias("text")).collect():
+    for x in found.dropDuplicates(["doc_id", "lang", "own"]).collect():  # as many as ids
         out.setdefault(x.lang, []).append((x.r, x.text))
     return {lang: b" ".join(letters(t)[:row_bytes] for _, t in sorted(texts)[:rows]) for lang, texts in sorted(out.items())}
 

@@ -9,6 +9,7 @@ too few, so results equal those of running every rule on every document.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from re import _constants as C
 from re import _parser
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from annulus.llm.common import free_names, text_key
 
-MOST_STRINGS, MOST_GRAMS = 24, 2
+MOST_STRINGS, MOST_GRAMS, BLOCK = 24, 2, 64
 #: English letters from the most to the least common: fixed values, to tell which trigrams are seldom.
 COMMON = "etaoinshrdlcumwfgypbvkjxqz"
 Query = list[list[frozenset[str]]]
@@ -34,7 +35,8 @@ class Rule:
     least: int
 
 
-#: The first three are the base kinds; the others are added.
+#: The first three are the base kinds; the others are added. Java matches repeated groups by recursion and tries each start, so
+#: groups repeat a bounded number of times, and what a failed match may scan again begins at a boundary only.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 18),
@@ -42,8 +44,8 @@ RULES = (
     Rule("forge", r"gh[pousr]_[A-Za-z0-9]+", 0, 40),
     Rule("chat", r"xox[abprs]-[A-Za-z0-9-]+", 0, 15),
     Rule("cloud", r"AIza[A-Za-z0-9_-]+", 0, 39),
-    Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]+ )*PRIVATE KEY-----)?)", 0, 1),
-    Rule("web", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
+    Rule("pem", r"-----BEGIN (?:[A-Z]{1,20} ){0,6}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*(?:-----END (?:[A-Z]{1,20} ){0,6}PRIVATE KEY-----)?)", 0, 1),
+    Rule("web", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 0, 20),
 )
 BASE = ("assign", "access", "hex")
 
@@ -133,25 +135,50 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     return whole.groupBy("doc_id", "_text_key").agg(F.collect_set("kind").alias("kinds"))
 
 
-def _parts(text: Column, rule: Rule) -> tuple[Column, Column, Column]:
-    """What lies between the matches (one more than they are), the matches, and the group that counts of each."""
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def _parts(text: Column, rule: Rule, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """then(what lies between the matches, one more than they are; the matches; the group that counts of each)."""
     pattern = F.lit(rule.pattern)
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.split(text, rule.pattern, -1), whole, F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
+
+    def given(whole: Column) -> Column:
+        values = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else whole
+        return then(F.split(text, rule.pattern, -1), whole, values)
+
+    return _let(F.regexp_extract_all(text, pattern, F.lit(0)), given)
 
 
 def _spans(text: Column, rule: Rule) -> Column:
-    """array<struct<start, kind, end>> of a rule's matches in code points; kind is the rule's name."""
-    between, whole, values = _parts(text, rule)
-    sizes = F.zip_with(F.slice(between, F.lit(1), F.size(whole)), F.arrays_zip(whole.alias("m"), values.alias("v")), lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), F.length(m["v"]).alias("v")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("out"))
+    """array<struct<start, kind, end>> of a rule's matches in code points; kind is the rule's name.
+
+    Lengths are added up in blocks of ``BLOCK`` matches, then over the blocks, so that no long array grows match by match.
+    """
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
 
     def step(acc, x):
         first = acc["at"] + x["gap"]
         span = F.struct(first.alias("start"), F.lit(rule.kind).alias("kind"), (first + x["n"]).alias("end"))
         return F.struct((first + x["n"]).alias("at"), F.when(x["v"] >= rule.least, F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    def blocks(sizes: Column) -> Column:
+        last = F.floor(F.greatest(F.size(sizes) - 1, F.lit(0)) / BLOCK).cast("int")
+        empty = F.struct(F.lit(0).alias("at"), none.alias("out"))
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.aggregate(F.slice(sizes, b * BLOCK + 1, F.lit(BLOCK)), empty, step))
+
+    def placed(found: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        bases = F.aggregate(found, start, lambda acc, x: F.struct((acc["at"] + x["at"]).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+        moved = lambda s, base: F.struct((s["start"] + base).alias("start"), s["kind"].alias("kind"), (s["end"] + base).alias("end"))
+        return F.flatten(F.zip_with(found, bases, lambda x, base: F.transform(x["out"], lambda s: moved(s, base))))
+
+    def lengths(between: Column, whole: Column, values: Column) -> Column:
+        matched = F.arrays_zip(whole.alias("m"), values.alias("v"))
+        return F.zip_with(F.slice(between, F.lit(1), F.size(whole)), matched, lambda gap, m: F.struct(F.length(gap).alias("gap"), F.length(m["m"]).alias("n"), F.length(m["v"]).alias("v")))
+
+    return _let(_let(_parts(text, rule, lengths), blocks), placed)
 
 
 def _with_kinds(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame, str]:
@@ -176,7 +203,8 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with ``secrets array<struct<start, kind, end>>`` by start, then by the rules' order.
 
     Positions are code points, the end exclusive; kinds may overlap. Null and empty texts hold none. Repeated rows and
-    rows with a null doc_id are scanned like any other. A column of that name is replaced.
+    rows with a null doc_id are scanned like any other. A text of any length is scanned whole, each rule in time that
+    grows with the length. A column of that name is replaced; an empty table gives an empty result.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
@@ -204,15 +232,18 @@ def redact_secrets(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, .
     """docs with every secret's counted group replaced by mark; rows and columns stay, n_chars (if any) is set anew.
 
     Null and empty texts stay as they are; repeated rows and rows with a null doc_id are masked like any other; rules apply
-    one after the other to the whole text. An empty table gives an empty result.
+    one after the other to the whole text, of any length. An empty table gives an empty result.
     """
     out, kinds = _with_kinds(docs, rules)
     for rule in rules:
         text = F.col("text")
-        between, whole, values = _parts(text, rule)
-        kept = F.zip_with(whole, values, lambda m, v: F.when(F.length(v) >= rule.least, F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(v)), F.lit(mark))).otherwise(m))  # noqa: B023
-        joined = F.array_join(F.zip_with(between, kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
-        out = out.withColumn("text", F.when(text.isNotNull() & F.coalesce(_applies(rule, text, kinds), F.lit(False)), joined).otherwise(text))
+
+        def masked(between: Column, whole: Column, values: Column, least: int = rule.least) -> Column:
+            kept = F.zip_with(whole, values, lambda m, v: F.when(F.length(v) >= least, F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(v)), F.lit(mark))).otherwise(m))
+            return F.array_join(F.zip_with(between, kept, lambda gap, m: F.concat(gap, F.coalesce(m, F.lit("")))), "")
+
+        applies = text.isNotNull() & F.coalesce(_applies(rule, text, kinds), F.lit(False))
+        out = out.withColumn("text", F.when(applies, _parts(text, rule, masked)).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -33,6 +33,16 @@ def block_count(n: int, dim: int, enough: int) -> int:
     return max(1, -(-n * dim // VALUES), min(-(-n // FEWEST), enough))
 
 
+def exponents(x: np.ndarray) -> np.ndarray:
+    """For each row the power of two that, taken out of it, leaves its largest component in [0.5, 1); 0 for rows of zeros."""
+    return np.frexp(np.abs(x).max(axis=1, initial=0.0))[1]
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Each row without its power of two: squares neither overflow nor vanish, and cosines are the same."""
+    return np.ldexp(x, -exponents(x)[:, None])
+
+
 def matrix(table: pa.Table, name: str = "v") -> np.ndarray:
     """The rows' vectors in double precision."""
     column = table.column(name).combine_chunks()
