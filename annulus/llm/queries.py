@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annulus.llm import ann, bpe, embedding_dedup, langid, packing, quality, secret_scan, simhash, substring_dedup, suffix_dedup
+from annulus.llm import ann, bpe, chat_format, embedding_dedup, langid, lexical_search, packing, quality, secret_scan, simhash, spelling_variants, substring_dedup, suffix_dedup
 from annulus.llm.common import table
 
 
@@ -70,11 +70,27 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_report(table(spark, sf_dir, "documents"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.best_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = "</s>[INST] ok [/INST]"
+    own = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat_format.read_back(chat_format.format_conversations(conversations))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_substring_dedup, op2_best_fit_packing, op3_embedding_dedup, op4_nearest_neighbours, op5_simhash_dedup,
         op6_language_id, op7_secret_scan, op8_byte_bpe, op9_quality_ranking, op10_suffix_dedup,
+        op11_ranked_search, op12_chat_format, op13_spelling_variants,
     )
 }
 
@@ -87,4 +103,32 @@ reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l
 n AS (SELECT a, count(*) AS n FROM links GROUP BY a), c AS (SELECT a, least(min(a), min(b)) AS c FROM reach GROUP BY a)
 SELECT e.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, coalesce(c.c, e.vec_id)::BIGINT AS component_id, coalesce(c.c, e.vec_id) = e.vec_id AS kept
 FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN c ON c.a = e.vec_id""",
+    "op4_nearest_neighbours": """WITH v AS (SELECT DISTINCT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+far AS (SELECT a.vec_id AS query_id, b.vec_id, list_distance(a.e, b.e) AS score FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE a.vec_id % 100 = 0),
+placed AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INTEGER AS rank, vec_id, score FROM far)
+SELECT query_id, rank, vec_id, score FROM placed WHERE rank <= 10""",
+    "op11_ranked_search": r"""WITH low AS (SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents),
+stats AS (SELECT count(*) FILTER (len(words) > 0) AS docs, sum(len(words))::BIGINT AS total FROM low),
+held AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(words) AS term FROM low) GROUP BY ALL),
+df AS (SELECT term, count(*) AS df FROM held GROUP BY term),
+items AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL),
+weights AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM df, stats),
+lengths AS (SELECT r, doc_id, 50 + (50 * len(words)::BIGINT * docs) // total AS m FROM low, stats WHERE len(words) > 0 AND doc_id IS NOT NULL),
+scores AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+  FROM items JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY ALL),
+placed AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM placed WHERE rank <= 50""",
+    "op12_chat_format": r"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+own AS (SELECT *, len(text) + len(text) - len(replace(text, '', '')) + list_sum([(len(text) - len(replace(text, c, ''))) // len(c)
+    for c in ['<s>', '</s>', '[INST]', '[/INST]', '[REPLY]', '[ROLE]', '[NAME]', '[/ROLE]']])::BIGINT AS long,
+  len(role) + len(role) - len(replace(role, '', '')) + list_sum([(len(role) - len(replace(role, c, ''))) // len(c)
+    for c in ['<s>', '</s>', '[INST]', '[/INST]', '[REPLY]', '[ROLE]', '[NAME]', '[/ROLE]']])::BIGINT AS role_long FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  coalesce(sum(len(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  (3 + sum(long + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 13 ELSE 23 + role_long END))::BIGINT AS formatted_chars FROM own GROUP BY conv_id""",
 }
