@@ -131,7 +131,7 @@ def assign(gain: np.ndarray) -> list[tuple[int, int]]:
 
 
 def optimal_match(pairs: DataFrame) -> DataFrame:
-    """pairs(ann_id, pred_id, iou > 0) -> those of the assignment with the greatest total iou.
+    """pairs(ann_id, pred_id, iou > 0) -> those of the assignment with the greatest total iou; ids are longs or strings.
 
     Only records that overlap directly or over others depend on each other, so each such group is assigned by itself; a
     group of one pair needs no search. A group's matrix is as large as the chain of overlaps, not as the image.
@@ -143,7 +143,7 @@ def optimal_match(pairs: DataFrame) -> DataFrame:
     def solved(rows: pd.DataFrame) -> pd.DataFrame:
         group, taken = rows["group"].to_numpy(), []
         ann, pred, iou = (rows[c].to_numpy() for c in ("ann_id", "pred_id", "iou"))
-        for part in np.split(np.arange(len(group)), np.flatnonzero(np.diff(group)) + 1):
+        for part in np.split(np.arange(len(group)), np.flatnonzero(group[1:] != group[:-1]) + 1):
             a, row = np.unique(ann[part], return_inverse=True)
             p, col = np.unique(pred[part], return_inverse=True)
             gain = np.zeros((len(a), len(p)))
@@ -165,4 +165,5 @@ def optimal_match(pairs: DataFrame) -> DataFrame:
             yield solved(waiting)
 
     dealt = rest.repartition("group").sortWithinPartitions("group")
-    return lone.unionByName(dealt.mapInPandas(best, "ann_id long, pred_id long, iou double"))
+    kinds = [f"{c} {pairs.schema[c].dataType.simpleString()}" for c in ("ann_id", "pred_id")]
+    return lone.unionByName(dealt.mapInPandas(best, ", ".join([*kinds, "iou double"])))

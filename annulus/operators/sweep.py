@@ -43,8 +43,11 @@ def _crossings(e: np.ndarray) -> np.ndarray:
     return np.concatenate(found)
 
 
-def _slab_areas(e: np.ndarray, of_a: np.ndarray, below: np.ndarray, above: np.ndarray) -> np.ndarray:
-    """(pairs, 3) areas of a, b and both from edges (pairs, edges, 4) between heights (pairs, slabs)."""
+def _slab_areas(e: np.ndarray, of_a: np.ndarray, below: np.ndarray, above: np.ndarray, covered: bool = False) -> np.ndarray:
+    """(pairs, 3) areas of a, b and both from edges (pairs, edges, 4) between heights (pairs, slabs).
+
+    With ``covered``, what edges wind around at all is inside, else what an odd number of them encloses.
+    """
     mid = ((below + above) / 2)[:, :, None]
     lo, hi = np.minimum(e[..., 1], e[..., 3])[:, None], np.maximum(e[..., 1], e[..., 3])[:, None]
     with np.errstate(divide="ignore", invalid="ignore"):
@@ -56,7 +59,11 @@ def _slab_areas(e: np.ndarray, of_a: np.ndarray, below: np.ndarray, above: np.nd
     order = np.argsort(x, axis=2, kind="stable")
     x, live = np.take_along_axis(x, order, 2), np.take_along_axis(live, order, 2)
     mine = np.take_along_axis(np.broadcast_to(of_a[:, None], x.shape), order, 2)
-    in_a, in_b = (np.cumsum(live & k, axis=2) % 2 == 1 for k in (mine, ~mine))
+    if covered:
+        way = np.take_along_axis(np.broadcast_to(np.sign(e[..., 3] - e[..., 1])[:, None], x.shape), order, 2)
+        in_a, in_b = (np.cumsum(np.where(live & k, way, 0), axis=2) != 0 for k in (mine, ~mine))
+    else:
+        in_a, in_b = (np.cumsum(live & k, axis=2) % 2 == 1 for k in (mine, ~mine))
     with np.errstate(invalid="ignore"):
         width = x[:, :, 1:] - x[:, :, :-1]
     # no edges cross inside a slab, so the width half way up times its height is exact
@@ -64,7 +71,7 @@ def _slab_areas(e: np.ndarray, of_a: np.ndarray, below: np.ndarray, above: np.nd
     return np.stack([k.sum(axis=1) for k in areas], axis=1)
 
 
-def swept_areas(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
+def swept_areas(a: np.ndarray, b: np.ndarray, covered: bool = False) -> tuple[float, float, float]:
     """Area of a, of b and of what both enclose; a and b are tables of edges (ax, ay, bx, by)."""
     e, of_a = np.concatenate([a, b]), np.arange(len(a) + len(b)) < len(a)
     level = e[:, 1] == e[:, 3]
@@ -74,10 +81,10 @@ def swept_areas(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:
     ys = np.unique(np.concatenate([e[:, 1], e[:, 3], _crossings(e)]))[None]
     step = max(1, CELLS // len(e))
     blocks = [ys[:, i : i + step + 1] for i in range(0, ys.shape[1] - 1, step)]
-    return tuple(sum(_slab_areas(e[None], of_a[None], y[:, :-1], y[:, 1:])[0] for y in blocks).tolist())
+    return tuple(sum(_slab_areas(e[None], of_a[None], y[:, :-1], y[:, 1:], covered)[0] for y in blocks).tolist())
 
 
-def _swept_together(e: np.ndarray, of_a: np.ndarray) -> np.ndarray:
+def _swept_together(e: np.ndarray, of_a: np.ndarray, covered: bool = False) -> np.ndarray:
     """swept_areas of many pairs of as many edges each; (pairs, edges, 4), (pairs, edges) -> (pairs, 3)."""
     d, (i, j) = e[..., 2:] - e[..., :2], np.triu_indices(e.shape[1], 1)
     across, away = d[:, i, 0] * d[:, j, 1] - d[:, i, 1] * d[:, j, 0], e[:, j, :2] - e[:, i, :2]
@@ -87,32 +94,36 @@ def _swept_together(e: np.ndarray, of_a: np.ndarray) -> np.ndarray:
         hit = (across != 0) & (t > 0) & (t < 1) & (u > 0) & (u < 1)
         meet = np.where(hit, e[:, i, 1] + t * d[:, i, 1], e[:, i, 1])
     ys = np.sort(np.concatenate([e[..., 1], e[..., 3], meet], axis=1), axis=1)
-    return _slab_areas(e, of_a, ys[:, :-1], ys[:, 1:])
+    fresh = np.diff(ys, axis=1, prepend=-np.inf) > 0
+    most = fresh.sum(axis=1).max(initial=1)  # heights that repeat bound no slab
+    ys = np.sort(np.where(fresh, ys, ys[:, -1:]), axis=1)[:, :most]
+    step = max(1, CELLS // max(1, e.shape[1] * most))
+    return np.concatenate([_slab_areas(e[i : i + step], of_a[i : i + step], ys[i : i + step, :-1], ys[i : i + step, 1:], covered) for i in range(0, len(e), step)])
 
 
 #: Pairs of so many edges at most are swept together, filled up to the next multiple of 4 with edges of no height.
 FEW = 24
 
 
-def swept_batch(left: list, right: list) -> np.ndarray:
+def swept_batch(left: list, right: list, covered: bool = False, few: int = FEW) -> np.ndarray:
     """swept_areas of each pair of edge lists, nan where one is null."""
     out, alike = np.full((len(left), 3), np.nan), {}
     for k, (a, b) in enumerate(zip(left, right, strict=True)):
         if a is None or b is None:
             continue
         n = len(a) // 4 + len(b) // 4
-        if n > FEW:
-            out[k] = swept_areas(*(np.asarray(v, dtype="float64").reshape(-1, 4) for v in (a, b)))
+        if n > few:
+            out[k] = swept_areas(*(np.asarray(v, dtype="float64").reshape(-1, 4) for v in (a, b)), covered)
         else:
             alike.setdefault(-(-n // 4) * 4, []).append((k, a, b))
     for n, pairs in alike.items():
-        step = max(1, CELLS // max(1, n * n * (n + 3) // 2))
+        step = max(1, CELLS // max(1, n * n))
         for i in range(0, len(pairs) if n else 0, step):
             part = pairs[i : i + step]
             e, of_a = np.zeros((len(part), n * 4)), np.zeros((len(part), n), dtype=bool)
             for row, (_, a, b) in enumerate(part):
                 e[row, : len(a)], e[row, len(a) : len(a) + len(b)], of_a[row, : len(a) // 4] = a, b, True
-            out[[p[0] for p in part]] = _swept_together(e.reshape(-1, n, 4), of_a)
+            out[[p[0] for p in part]] = _swept_together(e.reshape(-1, n, 4), of_a, covered)
         if not n:
             out[[p[0] for p in pairs]] = 0.0
     return out

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -11,7 +9,7 @@ from pyspark.sql import Window as W
 from annulus.functions import rings as R
 from annulus.functions import simplify as S
 from annulus.operators import detection as D
-from annulus.operators import rounds
+from annulus.operators.evaluator import corner_hits
 from annulus.plans.detection import MATCH_SQL, framed_overlap, framed_sql, matches
 from annulus.plans.matching import image_f1
 from annulus.registry import SQL as ORACLES
@@ -130,26 +128,6 @@ def group_of_matches(spark, sf_dir):
     return rows.select("pred_id", F.when(C("tp"), "true").when(C("grp").isNull(), "false").when(first, "group").otherwise("left out").alias("kind"))
 
 
-def corner_hits(a: Column, b: Column, within: float) -> Column:
-    """How many points of two arrays are paired within a distance, all of the smaller array paired at the least total distance.
-
-    Arrow batches; a pair of rings takes a table of size(a) * size(b) distances.
-    """
-
-    @F.pandas_udf("long")
-    def kernel(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-        def pair(px, py, qx, qy) -> int:
-            if not len(px) or not len(qx):
-                return 0
-            far = np.hypot(np.subtract.outer(px, qx), np.subtract.outer(py, qy))
-            return sum(bool(far[i, j] <= within) for i, j in rounds.assign(far.max() - far))
-
-        return pd.Series([pair(*v) for v in zip(ax, ay, bx, by, strict=True)], dtype="int64")
-
-    side = lambda ring, k: F.transform(ring, lambda p: p[k])
-    return kernel(side(a, "x"), side(a, "y"), side(b, "x"), side(b, "y"))
-
-
 def _near_corners(square: int) -> str:
     return " + ".join(f"((g.{x}-p.{x})*(g.{x}-p.{x}) + (g.{y}-p.{y})*(g.{y}-p.{y}) <= {square})::INT" for x in ("x0", "x1") for y in ("y0", "y1"))
 
@@ -163,7 +141,7 @@ def corner_f1(spark, sf_dir):
     outline = lambda m: R.densify(F.array(*[R.point(C(m + a), C(m + b)) for a, b in (("x0", "y0"), ("x1", "y0"), ("x1", "y1"), ("x0", "y1"))]), 12.0)
     corners = S.simplify_ring(S.simplify_ring(both, "a", outline("g_"), 1.0), "b", outline("p_"), 1.0)
     size = lambda df, name: df.agg((4 * F.count("*")).alias(name))
-    sums = corners.select(corner_hits(C("a"), C("b"), 2.0).alias("h2"), corner_hits(C("a"), C("b"), 5.0).alias("h5")).agg(F.sum("h2").alias("h2"), F.sum("h5").alias("h5"))
+    sums = corners.select(corner_hits(C("a"), C("b"), [2.0, 5.0]).alias("hits")).agg(F.sum(C("hits")[0]).alias("h2"), F.sum(C("hits")[1]).alias("h5"))
     rows = sums.select(F.explode(F.array(F.struct(F.lit(2.0).alias("threshold"), C("h2").alias("tp")), F.struct(F.lit(5.0).alias("threshold"), C("h5").alias("tp")))).alias("s")).select("s.*")
     rows = rows.join(F.broadcast(size(pred, "np"))).join(F.broadcast(size(gt, "ng")))  # a row each
     return rows.select("threshold", "tp", (C("np") - C("tp")).alias("fp"), (C("ng") - C("tp")).alias("fn"), F.round(2 * C("tp") / (C("np") + C("ng")), 9).alias("f1"))
