@@ -5,7 +5,8 @@ what ties with the third); of these, two that don't overlap are its pivots, thos
 programming. One edit destroys one of two pivots at most. So of two words one edit apart, the one whose prefix ends first has
 a pivot that the other holds in its prefix, and as there is but one edit, it lies wholly before or wholly behind it: either what is left
 of the gram is the same in both, place included, or what is right of it is. Pivots are indexed by gram, side and what is on that side,
-the other words' prefixes are looked up there, and lengths and edit distance are checked.
+the other words' prefixes are looked up there, and lengths and edit distance are checked. Where that side has few letters, many words
+share it; there the key also holds a half of the other side, which holds the edit: one of its halves is without.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from annulus.llm.common import Scratch
 
-LEAST_LENGTH, LEAST_TIMES, FLUSH = 5, 3, 200_000
+LEAST_LENGTH, LEAST_TIMES, FLUSH, SHORT = 5, 3, 200_000, 4
 EDITS, GRAM = 1, 2
 #: Latin-1 bytes outside A-Z, a-z and C0 to FF become spaces, A-Z lower case; what Latin-1 lacks is encoded as a question mark.
 PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 0xC0 else 32 for b in range(256))
@@ -78,18 +79,27 @@ def pivots(grams: list[tuple[int, int]], count: int = EDITS + 1) -> list[int]:
     return best[-1][count][1] if best[-1][count] else []
 
 
+def _halves(rest: str, length: int) -> list[str]:
+    """Of what is one edit from a string of that length: its share of that string's first half, and of the second."""
+    first, second = length // 2, length - length // 2
+    return [f"a{length}:{rest[:first]}", *([f"b{length}:{rest[len(rest) - second :]}"] if second <= len(rest) else [])]
+
+
 def entries(word: str, number: dict[str, int]) -> tuple[tuple[int, str], list[tuple[bool, int]]]:
-    """Where the word's prefix ends, and a key for each side of each of its grams, once as a prefix gram and once more as a pivot."""
+    """Where the word's prefix ends, and the keys of its grams, as a prefix gram (False) and, where it is one, as a pivot (True)."""
     ordered = sorted((number[word[i : i + GRAM]], word[i : i + GRAM], i) for i in range(len(word) - GRAM + 1))
     last = ordered[min(GRAM * EDITS, len(ordered) - 1)][:2]
     prefix = [x for x in ordered if x[:2] <= last]
     chosen = set(pivots(sorted((i, n) for n, _, i in prefix)))
-    out = []
-    for _, gram, i in prefix:
-        sides = (f"<{i}:{word[: i + GRAM]}", f"{word[i:]}:{len(word) - i}>")
-        keys = [xxhash.xxh64_intdigest(f"{gram}{side}".encode()) - (1 << 63) for side in sides]
-        out += [(pivot, key) for pivot in ([False, True] if i in chosen else [False]) for key in keys]
-    return last, out
+    keys = []
+    for *_, i in prefix:
+        for side, same, rest in (("<", word[: i + GRAM], word[i + GRAM :]), (">", word[i:], word[:i])):
+            n = len(rest)
+            lengths = (n - 1, n, n + 1) if n else (0, 1)  # that the other word may have there
+            keys += [(False, f"{side}{same}{half}") for half in (_halves(rest, n) if len(same) <= SHORT else [""])]
+            if i in chosen:
+                keys += [(True, f"{side}{same}{half}") for half in ([h for k in lengths for h in _halves(rest, k)] if len(same) <= SHORT else [""])]
+    return last, [(pivot, xxhash.xxh64_intdigest(key.encode()) - (1 << 63)) for pivot, key in keys]
 
 
 def near_pairs(words: DataFrame) -> DataFrame:
