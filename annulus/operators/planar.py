@@ -137,13 +137,14 @@ def _turned(points: np.ndarray, pieces: np.ndarray, own: np.ndarray) -> tuple[np
     return tuple(np.stack([p[:, 0] * c - p[:, 1] * s, p[:, 0] * s + p[:, 1] * c], axis=1) for p in (a, b))
 
 
-def _followed(points: np.ndarray, a: np.ndarray, b: np.ndarray) -> list[list[int]]:
-    """Closed walks along the directed pieces a, b that keep to one corner of what lies on their left."""
+def _followed(points: np.ndarray, a: np.ndarray, b: np.ndarray, across: bool = False) -> list[list[int]]:
+    """Closed walks along the directed pieces a, b that keep to one corner of what lies on their left; or, with ``across``, to one
+    corner of what lies on their right, so that what meets in a point hangs together."""
     n = len(a)
     out = points[b] - points[a]
-    turn = np.arctan2(np.r_[out[:, 1], -out[:, 1]], np.r_[out[:, 0], -out[:, 0]])
+    turn = np.arctan2(np.r_[out[:, 1], -out[:, 1]] + 0.0, np.r_[out[:, 0], -out[:, 0]] + 0.0)  # -0.0 would turn the other way
     node = np.concatenate([a, b])
-    order = np.lexsort((-turn, node))  # clockwise around each point: the first n of these leave it, the others arrive
+    order = np.lexsort((turn if across else -turn, node))  # clockwise around each point: the first n of these leave it, the others arrive
     leaves, at = order < n, np.arange(2 * n)
     following = np.minimum.accumulate(np.where(leaves, at, 2 * n)[::-1])[::-1]
     first = np.flatnonzero(np.r_[True, node[order][1:] != node[order][:-1]])
@@ -302,7 +303,7 @@ def parts(exterior: Column, holes: Column) -> Column:
     def kernel(edges: pd.Series) -> pd.Series:
         return _flat([None if e is None else [_table(e)] for e in edges], odd)
 
-    return _as_polygons(kernel(edge_list(exterior, holes)))
+    return _as_polygons(kernel.asNondeterministic()(edge_list(exterior, holes)))
 
 
 def clipped(exterior: Column, holes: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
@@ -312,7 +313,7 @@ def clipped(exterior: Column, holes: Column, x0: Column, y0: Column, x1: Column,
     def kernel(edges: pd.Series, box: pd.Series) -> pd.Series:
         return _flat([None if e is None else [_table(e), box_edges(*b)] for e, b in zip(edges, box, strict=True)], lambda w: (w[:, 0] % 2 == 1) & (w[:, 1] != 0))
 
-    return _as_polygons(kernel(edge_list(exterior, holes), F.array(*[c.cast("double") for c in (x0, y0, x1, y1)])))
+    return _as_polygons(kernel.asNondeterministic()(edge_list(exterior, holes), F.array(*[c.cast("double") for c in (x0, y0, x1, y1)])))
 
 
 def unioned(polygons: Column) -> Column:
@@ -322,11 +323,11 @@ def unioned(polygons: Column) -> Column:
     def kernel(edges: pd.Series) -> pd.Series:
         return _flat([None if own is None else [_table(e) for e in own if e is not None] for own in edges], lambda w: (w % 2 == 1).any(axis=1))
 
-    return _as_polygons(kernel(F.transform(polygons, lambda p: edge_list(p["exterior"], p["holes"]))))
+    return _as_polygons(kernel.asNondeterministic()(F.transform(polygons, lambda p: edge_list(p["exterior"], p["holes"]))))
 
 
 def largest(found: Column, min_area: float = 0.0) -> Column:
-    """The largest part with an area over 0 and not under min_area, null without one."""
+    """The largest part with an area over 0 and not under min_area, null without one; found is a column, so that it is made once."""
     first = F.get(found, F.lit(0))
     return F.when((first["area"] > 0) & (first["area"] >= min_area), first)
 
@@ -341,5 +342,5 @@ def patch_parts(polygons: DataFrame, size: float) -> DataFrame:
     whole = (c("x0") >= x) & (c("x1") <= x + size) & (c("y0") >= y) & (c("y1") <= y + size)
     cut = clipped(F.when(~whole, c("exterior")), c("holes"), x, y, x + size, y + size)
     same = F.array(F.struct("exterior", "holes", R.polygon_area(c("exterior"), c("holes")).alias("area")))
-    rows = dealt.withColumn("part", F.explode(F.when(whole, same).otherwise(cut)))
-    return rows.drop("x0", "y0", "x1", "y1", "exterior", "holes").select("*", "part.*").drop("part")
+    rows = dealt.withColumn("cut", cut).withColumn("part", F.explode(F.when(whole, same).otherwise(c("cut"))))
+    return rows.drop("x0", "y0", "x1", "y1", "exterior", "holes", "cut").select("*", "part.*").drop("part")

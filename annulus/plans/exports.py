@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from annulus.functions import rings as R
 from annulus.functions import simplify as S
 from annulus.operators import detection as D
+from annulus.operators import rounds
 from annulus.registry import query
 from annulus.sources.boxes import SQL, gt_boxes, polygons, pred_boxes
 
@@ -249,13 +250,19 @@ def filtered_contours(spark, sf_dir):
     return kept.where("n >= 3 and length >= 100 and area >= 500").select("ann_id", C("length").cast("long").alias("length"))
 
 
-def cycles_of(links: DataFrame, rounds: int) -> DataFrame:
-    """``links(node, next)``, a permutation -> (node, cycle), the least node of its cycle; cycles of 2 ** rounds nodes at most."""
-    label = links.select("node", "next", F.least("node", "next").alias("cycle"))
-    for _ in range(rounds):
+def cycles_of(links: DataFrame) -> DataFrame:
+    """``links(node, next)``, a permutation -> (node, cycle), the least node of its cycle; each round looks twice as far ahead.
+
+    As nodes differ, no round leaves all labels as they were before every one has seen its whole cycle.
+    """
+    label = rounds.cut(links.select("node", "next", F.least("node", "next").alias("cycle")))
+    while True:
         ahead = label.select(C("node").alias("next"), C("next").alias("jump"), C("cycle").alias("other"))
-        label = label.join(ahead, "next").select("node", C("jump").alias("next"), F.least("cycle", "other").alias("cycle"))
-    return label.select("node", "cycle")
+        moved = label.join(ahead, "next").select("node", C("jump").alias("next"), F.least("cycle", "other").alias("cycle"), (C("other") < C("cycle")).alias("changed"))
+        moved = rounds.cut(moved)
+        if moved.where("changed").isEmpty():
+            return moved.select("node", "cycle")
+        label = moved.drop("changed")
 
 
 @query(f"{SQL} SELECT ann_id * 8 AS cycle, 4 AS vertices, ann_id * 8 + 3 AS last FROM gt UNION ALL SELECT ann_id * 8 + 4, 4, ann_id * 8 + 7 FROM gt WHERE has_hole")
@@ -265,7 +272,7 @@ def decoded_permutation(spark, sf_dir):
     at = C("ann_id") * 8 + C("ring") * 4
     node = F.when(C("i") < C("n"), at + C("i")).otherwise(-at - C("i"))  # two self-linked vertices pad each ring
     links = rings.select(node.alias("node"), F.when(C("i") < C("n"), at + (C("i") + 1) % C("n")).otherwise(node).alias("next"))
-    found = cycles_of(links.where("node <> next"), 2)
+    found = cycles_of(links.where("node <> next"))
     return found.groupBy("cycle").agg(F.count("*").cast("int").alias("vertices"), F.max("node").alias("last"))
 
 

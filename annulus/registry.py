@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-PLANS = ("detection", "rings", "joins", "masks", "preparation", "matching", "contours", "fusion", "exports", "evaluation", "polygons")
+PLANS = ("detection", "rings", "joins", "masks", "preparation", "matching", "contours", "fusion", "exports", "evaluation", "polygons", "shapes")
 
 
 def query(sql: str | None = None) -> Callable[[Query], Query]:

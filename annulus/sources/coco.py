@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annulus.functions import rings as R
+from annulus.operators import forests, rounds
 
 IMAGES = "array<struct<id:bigint,file_name:string,width:int,height:int,source_image_name:string,patch_origin:array<int>>>"
 ANNOTATIONS = (
@@ -67,6 +68,20 @@ def ring_rows_to_polygons(rings: DataFrame) -> DataFrame:
     return grouped.where("first is not null").select("image_id", "source_geojson", "source_geometry_index", F.col("first.ring").alias("exterior"), F.transform("inner", lambda r: r["ring"]).alias("holes"))
 
 
+def read_ring_predictions(spark: SparkSession, path: str, min_score: float = 0.0, min_area: float = 10.0, lines: bool = False, **options: float) -> tuple[DataFrame, DataFrame]:
+    """Polygons with holes from a file of single rings, and one row of counts of what was read, left out and made.
+
+    Rings are repaired, rings under min_score or min_area and those that are none are left out, near copies go, and rings in others become
+    their holes (``forests.ring_polygons``, which takes the options).
+    """
+    rows = read_predictions(spark, path, lines).withColumn("id", F.monotonically_increasing_id())
+    found = rounds.cut(forests.usable_rings(rows, min_score, min_area))
+    polygons = rounds.cut(forests.ring_polygons(found.where("status = 'kept'"), **options))
+    count = lambda status: F.count_if(F.col("status") == status)
+    counts = found.agg(F.count("*").alias("num_predictions"), count("kept").alias("num_kept_rings"), count("low_score").alias("num_skipped_low_score"), count("invalid").alias("num_skipped_invalid"))
+    return polygons, counts.join(F.broadcast(polygons.agg(F.count("*").alias("num_grouped_buildings"))))
+
+
 def split_rings(polygons: DataFrame) -> DataFrame:
     """One row for each ring, in the shape that ring_rows_to_polygons reads."""
     rings = polygons.select("*", F.posexplode(F.concat(F.array("exterior"), "holes")).alias("ring_index", "ring")).drop("exterior", "holes", "segmentation", "is_hole")
