@@ -8,8 +8,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from annulus.llm.common import free_names
+from annulus.llm.common import free_names, text_key
 
 CUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -30,12 +31,35 @@ def without(data: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(data[a:b] for a, b in zip(ends, [*(s for s, _ in runs), len(data)], strict=True))
 
 
-def with_spans(docs: DataFrame, spans: DataFrame, name: str = "__spans", bits: int = 19) -> DataFrame:
-    """Each row of docs with ``name array<long>`` (docs has none of that name), from ``spans(doc_id, key, spans)``; null where it has none."""
-    key, doc, of = free_names(docs.withColumn(name, F.lit(0)), "__key", "__doc", "__of")
-    own = docs.withColumn(key, row_key(bits))
+def with_spans(docs: DataFrame, spans: DataFrame, name: str = "__spans", bits: int = 19, key: str | None = None) -> DataFrame:
+    """Each row of docs with ``name array<long>`` (docs has none of that name), from ``spans(doc_id, key, spans)``; null where it has none.
+
+    key: the column of docs that tells apart rows of one doc_id; without one, bits of the text's hash do.
+    """
+    made, doc, of = free_names(docs.withColumn(name, F.lit(0)), "__key", "__doc", "__of")
+    own = docs.withColumn(made, F.col(key) if key else row_key(bits))
     found = spans.select(F.col("doc_id").alias(doc), F.col("key").alias(of), F.col("spans").alias(name))
-    return own.join(found, (own["doc_id"] == found[doc]) & (own[key] == found[of]), "left").drop(doc, of, key)
+    return own.join(found, (own["doc_id"] == found[doc]) & (own[made] == found[of]), "left").drop(doc, of, made)
+
+
+def with_keys(docs: DataFrame, name: str, bits: int) -> DataFrame:
+    """``docs(doc_id, text)`` with ``name``, a number of so many bits that different texts of one doc_id don't share.
+
+    It is bits of the text's 64-bit hash. Where two texts of an id share these, all of that id's texts are numbered instead, by their
+    hashes; only then is the table shuffled. An id with more different texts than there are numbers raises.
+    """
+    whole = text_key()
+    slim = docs.where("doc_id is not null").select("doc_id", row_key(bits).alias("k"), whole.alias("h"))
+    bad = slim.groupBy("doc_id", "k").agg(F.min("h").alias("a"), F.max("h").alias("z")).where("a < z").select("doc_id").distinct()
+    plain = docs.withColumn(name, row_key(bits))
+    if bad.isEmpty():
+        return plain
+    texts = slim.join(bad, "doc_id", "left_semi").select("doc_id", "h").distinct()
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("h")) - 1
+    checked = F.when(place < 1 << bits, place.cast("long")).otherwise(F.raise_error(F.lit(f"a doc_id has more than {1 << bits} different texts")).cast("long"))
+    numbered = texts.select(F.col("doc_id").alias("__doc"), F.col("h").alias("__h"), checked.alias("__n"))
+    met = plain.join(numbered, (plain["doc_id"] == numbered["__doc"]) & (whole == numbered["__h"]), "left")
+    return met.withColumn(name, F.coalesce("__n", name)).drop("__doc", "__h", "__n")
 
 
 def row_key(bits: int = 19) -> Column:

@@ -13,8 +13,8 @@ each bundle standing for the strings that own it: those that start ``near`` to `
 1. First digit, the anchor's gram: bundles whose gram occurs in one document only drop out.
 2. Second digit, all bytes that the bundle's strings cover (a 128-bit digest together with the gram): where an earlier
    document has the same, all strings of the bundle repeat; the first document's bundle stays open if its gram has others.
-3. Third digit, for the open bundles of a gram: each string's own bytes. They are sorted in Arrow batches of whole grams,
-   and equal neighbours are confirmed byte by byte. A gram with more than ``GROUP`` bundles is not put into one batch:
+3. Last digits, for the open bundles of a gram: each string's own bytes, eight at a time, the most significant first, in Arrow
+   batches of whole grams; after each of these passes, groups of one document drop out. A gram with more than ``GROUP`` bundles is not put into one batch:
    its strings are dealt by ever longer digits first (the bytes that neighbouring strings share), and what stays
    large is grouped by the strings' bytes in Spark.
 
@@ -35,17 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.llm.common import Scratch
-from annulus.llm.spans import digests, row_key, with_spans
+from annulus.llm.spans import digests, with_keys, with_spans
 
-GRAM, WIDTH = 24, 50
+GRAM, WIDTH, KEY_BITS = 24, 50, 19
 SEGMENT, BLOCK = 1 << 18, 4 << 20
 BUNDLES, GROUP = 1 << 20, 4096  # anchors to a bucket; bundles of one gram to a batch
 #: How a place is packed: 19 bits of the row's key, 32 of the anchor's byte, 6 each of far and near.
 PLACE = {"key": (44, 0x7FFFF), "byte": (12, 0xFFFFFFFF), "far": (6, 63), "near": (0, 63)}
-#: Multipliers of the order hash, of the digits' hashes and of a string's words, and a number for each byte value.
+#: Multipliers of the order hash and of the digits' hashes, and a number for each byte value.
 STEPS = np.random.default_rng(50).integers(1 << 20, 1 << 32, 5, np.uint32) | np.uint32(1)
 FIRST, SECOND, LAST = np.random.default_rng(51).integers(1 << 60, 1 << 64, 3, np.uint64) | np.uint64(1)
-WEIGHTS = np.random.default_rng(53).integers(1 << 60, 1 << 64, 9, np.uint64) | np.uint64(1)
 VALUES = np.random.default_rng(52).integers(0, 1 << 32, 256, np.uint32)
 
 
@@ -160,7 +159,7 @@ def _starts(*keys: np.ndarray) -> np.ndarray:
 def _named(docs: DataFrame, width: int) -> DataFrame:
     """Rows that can lose or lend bytes: doc_id, key and the text's bytes."""
     rows = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("text") >= width))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), row_key().alias("key"), F.col("text").cast("binary").alias("text"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("key"), F.col("text").cast("binary").alias("text"))
 
 
 def grams_of_blocks(docs: DataFrame, width: int, buckets: int) -> DataFrame:
@@ -291,36 +290,31 @@ def _contexts(docs: DataFrame, width: int) -> DataFrame:
 
 def _repeated_strings(deal: np.ndarray, doc: np.ndarray, first: np.ndarray, last: np.ndarray, context: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """For each bundle the nearest and farthest of its strings, by how far before the anchor they start, that an earlier
-    document of its deal has; where there is none, the nearest is greater than the farthest."""
+    document of its deal has; where there is none, the nearest is greater than the farthest.
+
+    Strings are ordered by their bytes, eight at a time, the first ones first; after each pass, groups of one document drop out.
+    """
     halo = width - GRAM
-    offsets = [*range(0, width - 7, 8), width - 8]
-    words = np.ascontiguousarray(sliding_window_view(context, 8, axis=1)).view("<u8")[:, :, 0]
+    words = np.ascontiguousarray(sliding_window_view(context, 8, axis=1)).view(">u8")[:, :, 0]
     back = np.arange(halo, -1, -1)  # column j: the string that starts at byte j of the context
-    sums = np.broadcast_to(_hash(deal.view(np.uint64)[:, None], 3)[:, None] ^ back.astype(np.uint64), (len(deal), halo + 1)).copy()
-    for o, by in zip(offsets, WEIGHTS, strict=False):
-        sums += words[:, o : o + halo + 1] * by
     row, column = np.nonzero((back >= first[:, None]) & (back <= last[:, None]))
-    name = sums[row, column]
-    order = np.argsort(name)
-    name, row, column = name[order], row[order], column[order]
-    begin = _starts(name)
-    size = np.diff(np.append(begin, len(name)))
-    again = np.repeat(size > 1, size)  # the others are alone
-    row, column, name = row[again], column[again], name[again]
-    if not len(name):
-        return np.full(len(deal), 63), np.full(len(deal), -1)
-    begin = _starts(name)
-    held = np.stack([words[row, column + o] for o in offsets], axis=1)
-    head = np.repeat(begin, np.diff(np.append(begin, len(name))))
-    if not ((held == held[head]).all() and (column == column[head]).all() and (deal[row] == deal[row[head]]).all()):
-        order = np.lexsort((*held.T, column, deal[row]))  # two strings have one name: take the bytes themselves
-        row, column, held = row[order], column[order], held[order]
-        begin = _starts(deal[row], column, *held.T)
-    least = np.repeat(np.minimum.reduceat(doc[row], begin), np.diff(np.append(begin, len(row))))
-    lost = doc[row] > least
+    group = np.unique(deal, return_inverse=True)[1][row] * (halo + 1) + column  # equal strings lie as far before their anchors
+    for offset in (*range(0, width - 7, 8), width - 8):
+        digit = words[row, column + offset].astype(np.uint64)
+        order = np.lexsort((digit, group))
+        row, column, group, digit = row[order], column[order], group[order], digit[order]
+        begin = _starts(group, digit)
+        if not len(begin):
+            break
+        size, own = np.diff(np.append(begin, len(row))), doc[row]
+        open_ = np.repeat(np.minimum.reduceat(own, begin) < np.maximum.reduceat(own, begin), size)
+        group, row, column = np.repeat(np.arange(len(begin)), size)[open_], row[open_], column[open_]
     near, far = np.full(len(deal), 63), np.full(len(deal), -1)
-    np.minimum.at(near, row[lost], halo - column[lost])
-    np.maximum.at(far, row[lost], halo - column[lost])
+    if len(row):
+        begin = _starts(group)
+        lost = doc[row] > np.repeat(np.minimum.reduceat(doc[row], begin), np.diff(np.append(begin, len(row))))
+        np.minimum.at(near, row[lost], halo - column[lost])
+        np.maximum.at(far, row[lost], halo - column[lost])
     return near, far
 
 
@@ -392,7 +386,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """``(doc_id, key, spans array<long>)`` of the documents that lose bytes, written to the shared folder."""
+    """``docs(doc_id, key, text)`` -> ``(doc_id, key, spans array<long>)`` of the documents that lose bytes, written to the shared folder."""
     if not 48 <= width <= 64:
         raise ValueError("width must be from 48 to 64 bytes")
     scratch = Scratch(docs.sparkSession, "suffixes")
@@ -425,9 +419,8 @@ def suffix_report(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """For each row of docs: doc_id, n_bytes, n_removed, n_spans (maximal removed runs) and kept_sha256.
 
     A null text has no bytes. A row with a null doc_id keeps all and takes nothing from others. Rows of one doc_id
-    don't affect each other; each is judged by its own text. Texts shorter than width lose nothing, an empty table gives
+    don't affect each other; each is judged by its own text (524,288 different ones of an id at most, else an error). Texts shorter than width lose nothing, an empty table gives
     an empty result, other columns are ignored. A text is held whole by one task, its anchors a segment at a time.
     """
-    slim = docs.select("doc_id", "text")
-    spans = repeated_spans(slim, width)
-    return digests(with_spans(slim, spans))
+    slim = with_keys(docs.select("doc_id", "text"), "key", KEY_BITS)
+    return digests(with_spans(slim, repeated_spans(slim, width), key="key"))
