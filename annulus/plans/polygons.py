@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.functions import rings as R
-from annulus.operators import contours, evaluator, planar
+from annulus.operators import contours, evaluator, planar, sweep
 from annulus.operators import detection as D
 from annulus.plans.contours import _band_sql
+from annulus.plans.detection import THRESHOLDS
 from annulus.plans.evaluation import leaning
+from annulus.registry import SQL as ORACLES
 from annulus.registry import query
 from annulus.sources.boxes import INSET, SQL, box_ring, gt_boxes, polygons, pred_boxes
 
@@ -130,3 +132,11 @@ def polygon_topology(spark, sf_dir):
 def polygon_corners(spark, sf_dir):
     """Corners of slanted exteriors found within 2 and 5 units."""
     return evaluator.corners(*slanted(spark, sf_dir), [2.0, 5.0])
+
+
+@query(ORACLES["poly_ap_with_holes"])
+def turned_poly_ap(spark, sf_dir):
+    """Average precision of polygons with holes that stand on no axis, from swept overlaps."""
+    gt, pred = turned(polygons(gt_boxes(spark, sf_dir))), turned(polygons(pred_boxes(spark, sf_dir)))
+    pairs = sweep.polygon_pairs(gt, pred).withColumn("iou", F.round("iou", 9))  # the turn leaves errors of 1e-15
+    return D.average_precisions(pairs, pred, THRESHOLDS, gt).select("threshold", F.round("ap", 9).alias("ap"))
