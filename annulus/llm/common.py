@@ -10,20 +10,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
+from annulus.operators.rounds import shared_folder
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; in local mode alone, one of our own where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="annulus-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -53,7 +42,7 @@ class Scratch:
     """Tables written below the shared folder, so that later jobs neither recompute nor depend on one executor."""
 
     def __init__(self, spark: SparkSession, label: str):
-        self.spark, self.base = spark, f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+        self.spark, self.base = spark, f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str, rows: int = 10_000) -> DataFrame:
         """Write ``df`` and return it as read from there; rows: to a batch of its Python workers."""
