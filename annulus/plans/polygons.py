@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from annulus.functions import rings as R
 from annulus.operators import contours, evaluator, planar, sweep
 from annulus.operators import detection as D
+from annulus.operators import point_windows as points
 from annulus.plans.contours import _band_sql
 from annulus.plans.detection import THRESHOLDS
 from annulus.plans.evaluation import leaning
@@ -140,3 +141,15 @@ def turned_poly_ap(spark, sf_dir):
     gt, pred = turned(polygons(gt_boxes(spark, sf_dir))), turned(polygons(pred_boxes(spark, sf_dir)))
     pairs = sweep.polygon_pairs(gt, pred).withColumn("iou", F.round("iou", 9))  # the turn leaves errors of 1e-15
     return D.average_precisions(pairs, pred, THRESHOLDS, gt).select("threshold", F.round("ap", 9).alias("ap"))
+
+
+@query()
+def point_windows(spark, sf_dir):
+    """Windows over outlines matched point by point, of slanted polygons moved into the image, assigned at an IoU of 0.8 or more."""
+    gt, pred = slanted(spark, sf_dir)
+    pairs = evaluator.with_shapes(evaluator.matched_polygons(gt, pred, 0.8), gt, pred)
+    moved = lambda ring: R.mapped(ring, lambda p: p["x"] + 600, lambda p: p["y"] + 100)
+    matched = pairs.select("ann_id", "pred_id", points.matched_points(moved(C("p_exterior")), moved(C("g_exterior"))).alias("points"))
+    found = points.windows(matched, "points", F.lit(1400), F.lit(1000), length=16, step=8)
+    vertices = F.size(F.filter("points", lambda p: p["vertex"]))
+    return found.select("ann_id", "pred_id", "start", "valid", "x0", "y0", "x1", "y1", vertices.alias("vertices"))
