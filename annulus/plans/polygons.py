@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annulus.functions import rings as R
+from annulus.functions import simplify as S
 from annulus.operators import contours, evaluator, planar, sweep
 from annulus.operators import detection as D
 from annulus.operators import point_windows as points
@@ -153,3 +154,42 @@ def point_windows(spark, sf_dir):
     found = points.windows(matched, "points", F.lit(1400), F.lit(1000), length=16, step=8)
     vertices = F.size(F.filter("points", lambda p: p["vertex"]))
     return found.select("ann_id", "pred_id", "start", "valid", "x0", "y0", "x1", "y1", vertices.alias("vertices"))
+
+
+def jagged(boxes: DataFrame, key: str) -> DataFrame:
+    """boxes with ``ring``: three vertices more on one side, off it by less than a unit, or one of them by 2 or 2.5 units."""
+    x0, y0, x1, y1, kind = (*(C(c) for c in ("x0", "y0", "x1", "y1")), F.abs(key) % 3)
+    off = [F.when(kind == 2, 2.5).otherwise(0.4), F.when(kind == 0, 0.4).otherwise(2.0), F.lit(0.4)]
+    more = [R.point(x0 + (x1 - x0) * (k + 1) / 4, y0 - d) for k, d in enumerate(off)]
+    return boxes.withColumn("ring", F.array(R.point(x0, y0), *more, R.point(x1, y0), R.point(x1, y1), R.point(x0, y1)))
+
+
+@query(f"SELECT ann_id, CASE WHEN ann_id % 3 = 0 THEN 4 ELSE 5 END::INT AS vertices, ((x1 - x0) * (y1 - y0) + (x1 - x0) * (ann_id % 3 = 1)::INT + (x1 - x0) * 1.25::DOUBLE * (ann_id % 3 = 2)::INT)::DOUBLE AS area FROM ({SQL} SELECT * FROM gt)")
+def jagged_rings(spark, sf_dir):
+    """Turned rings simplified by one unit: of what is off the chords the farthest vertex stays, and those near the new chords go."""
+    turn = lambda ring: R.mapped(ring, lambda p: (p["x"] * 4 - p["y"] * 3) / 5, lambda p: (p["x"] * 3 + p["y"] * 4) / 5)
+    rings = jagged(gt_boxes(spark, sf_dir), "ann_id")
+    found = S.simplify_ring(rings, "ring", turn(C("ring")), 1.0)
+    return found.select("ann_id", F.size("ring").alias("vertices"), F.round(R.ring_area(C("ring")), 6).alias("area"))
+
+
+@query(f"SELECT ann_id, CASE WHEN ann_id % 2 = 0 THEN 4 ELSE 5 END::INT AS vertices, ((x1 - x0) * (y1 - y0) + (x1 - x0) * (ann_id % 2))::DOUBLE AS area FROM ({SQL} SELECT * FROM gt)")
+def bent_rings(spark, sf_dir):
+    """Turned rings without vertices at which they turn by two degrees or less; a side bent more keeps its bend."""
+    bend = F.when(C("ann_id") % 2 == 0, 0.05).otherwise(2.0)
+    x0, y0, x1, y1 = (C(c) for c in ("x0", "y0", "x1", "y1"))
+    ring = F.array(R.point(x0, y0), R.point((x0 + x1) / 2, y0 - bend), R.point(x1, y0), R.point(x1, y1), R.point(x0, y1))
+    turn = lambda ring: R.mapped(ring, lambda p: (p["x"] * 4 - p["y"] * 3) / 5, lambda p: (p["x"] * 3 + p["y"] * 4) / 5)
+    found = S.simplify_by_angle(gt_boxes(spark, sf_dir), "ring", turn(ring))
+    return found.select("ann_id", F.size("ring").alias("vertices"), F.round(R.ring_area(C("ring")), 6).alias("area"))
+
+
+@query(f"""{SQL}, t AS (SELECT unnest([1.0, 3.0, 8.0])::DOUBLE AS tolerance), a AS (SELECT tolerance, image_id, score, (x1 - x0) * (y1 - y0)
+  + CASE WHEN tolerance > 1 THEN 0 ELSE (x1 - x0) * (abs(pred_id) % 3 = 1)::INT + (x1 - x0) * 1.25::DOUBLE * (abs(pred_id) % 3 = 2)::INT END AS area FROM pred, t)
+SELECT tolerance, image_id, count(*) AS kept, sum(area)::DOUBLE AS area FROM a WHERE area >= 400 AND score >= 0.5 GROUP BY ALL""")
+def filtered_outlines(spark, sf_dir):
+    """Predicted outlines simplified by several tolerances, of an area of 400 and a score of 0.5 or more: how many of an image, and their area."""
+    rings = jagged(pred_boxes(spark, sf_dir), "pred_id")
+    each = [S.simplify_ring(rings, "ring", C("ring"), t).withColumn("tolerance", F.lit(t)) for t in (1.0, 3.0, 8.0)]
+    found = reduce(DataFrame.unionByName, each).withColumn("area", R.ring_area(C("ring"))).where("area >= 400 and score >= 0.5")
+    return found.groupBy("tolerance", "image_id").agg(F.count("*").alias("kept"), F.round(F.sum("area"), 6).alias("area"))
