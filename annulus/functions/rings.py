@@ -217,6 +217,15 @@ def edge_angles(ring: Column) -> Column:
     return F.transform(edges(ring), lambda e: F.pmod(F.atan2(e["b"]["y"] - e["a"]["y"], e["b"]["x"] - e["a"]["x"]) + FULL_TURN, F.lit(FULL_TURN)))
 
 
+def without_slight_turns(ring: Column, degrees: float = 10.0) -> Column:
+    """The ring without vertices at which the heading changes by so many degrees or less, all judged on the ring as it is."""
+    heading = edge_angles(ring)
+    before = F.concat(F.slice(heading, F.size(heading), F.lit(1)), heading)
+    change = F.zip_with(ring, F.zip_with(heading, F.slice(before, F.lit(1), F.size(heading)), lambda a, b: F.abs(a - b)), lambda p, d: F.struct(p.alias("p"), d.alias("d")))
+    least = math.radians(degrees)
+    return F.transform(F.filter(change, lambda v: (v["d"] > least) & (v["d"] < FULL_TURN - least)), lambda v: v["p"])
+
+
 def densify(ring: Column, gap: float) -> Column:
     """The ring with points put in at equal steps, so that no two neighbours are more than ``gap`` apart."""
 

@@ -13,8 +13,10 @@ from annulus.operators import contours, evaluator, planar, sweep
 from annulus.operators import detection as D
 from annulus.operators import point_windows as points
 from annulus.plans.contours import _band_sql
-from annulus.plans.detection import THRESHOLDS
+from annulus.plans.detection import THRESHOLDS, class_average_precision
+from annulus.operators import rounds
 from annulus.plans.evaluation import leaning
+from annulus.plans.matching import placed_pairs
 from annulus.registry import SQL as ORACLES
 from annulus.registry import query
 from annulus.sources.boxes import INSET, SQL, box_ring, gt_boxes, polygons, pred_boxes
@@ -193,3 +195,41 @@ def filtered_outlines(spark, sf_dir):
     each = [S.simplify_ring(rings, "ring", C("ring"), t).withColumn("tolerance", F.lit(t)) for t in (1.0, 3.0, 8.0)]
     found = reduce(DataFrame.unionByName, each).withColumn("area", R.ring_area(C("ring"))).where("area >= 400 and score >= 0.5")
     return found.groupBy("tolerance", "image_id").agg(F.count("*").alias("kept"), F.round(F.sum("area"), 6).alias("area"))
+
+
+@query(ORACLES["matches_in_score_order"].replace("FROM ious WHERE iou >= 0.8", "FROM ious JOIN (SELECT ann_id, x1 - x0 AS w, y1 - y0 AS h FROM gt) USING (ann_id) WHERE iou >= least(0.5, (w * h)::DOUBLE / ((w + 10) * (h + 10)))"))
+def matches_by_size(spark, sf_dir):
+    """Each prediction by score takes the free ground truth of greatest IoU at that one's own threshold: the share of its area in a box whose
+    sides are 10 longer, 0.5 at most."""
+    w, h = C("x1") - C("x0"), C("y1") - C("y0")
+    own = gt_boxes(spark, sf_dir).select("ann_id", F.least(F.lit(0.5), (w * h).cast("double") / ((w + 10) * (h + 10))).alias("least"))
+    pairs = placed_pairs(spark, sf_dir).join(own, "ann_id").where("iou >= least").drop("least")
+    return rounds.in_order(pairs.withColumns({"regular": F.lit(True), "reusable": F.lit(False)}), ["image_id"]).select("image_id", "pred_id", "ann_id")
+
+
+@query(f"SELECT round(avg(ap), 9) AS mean_ap, count(*) AS classes FROM ({ORACLES['class_average_precision']})")
+def mean_class_ap(spark, sf_dir):
+    """Average precision of each class, averaged over the classes that ground truth has."""
+    return class_average_precision(spark, sf_dir).agg(F.round(F.avg("ap"), 9).alias("mean_ap"), F.count("*").alias("classes"))
+
+
+@query(f"""SELECT ann_id, n, round(sum((4 * x - 3 * y) / 5.0), 4) AS x, round(sum((3 * x + 4 * y) / 5.0), 4) AS y FROM (
+  SELECT ann_id, n, CASE WHEN s < w THEN x0 + s WHEN s < w + h THEN x1 WHEN s < 2 * w + h THEN x1 - (s - w - h) ELSE x0 END AS x,
+    CASE WHEN s < w THEN y0 WHEN s < w + h THEN y0 + (s - w) WHEN s < 2 * w + h THEN y1 ELSE y1 - (s - 2 * w - h) END AS y
+  FROM (SELECT *, CASE WHEN k = n - 1 THEN 0 ELSE k * 2.0::DOUBLE * (w + h) / (n - 1) END AS s
+    FROM (SELECT *, unnest(range(0, n)) AS k FROM (SELECT *, x1 - x0 AS w, y1 - y0 AS h, least(greatest(round_even(2 * (x1 - x0 + y1 - y0) / 5.0, 0)::INT, 8), 40) AS n FROM ({SQL} SELECT * FROM gt))))) GROUP BY ALL""")
+def resampled_rings(spark, sf_dir):
+    """Turned outlines at equal steps of about five units, 8 to 40 of them: how many points, and their sums."""
+    rings = turned(polygons(gt_boxes(spark, sf_dir)))
+    found = rings.select("ann_id", contours.resampled(R.flat(C("exterior")), 5.0, 8, 40).alias("p"))
+    total = lambda odd: F.round(F.aggregate(F.filter("p", lambda _, i: i % 2 == odd), F.lit(0.0), lambda acc, v: acc + v), 4)
+    return found.select("ann_id", (F.size("p") / 2).cast("int").alias("n"), total(0).alias("x"), total(1).alias("y"))
+
+
+@query(f"SELECT ann_id, CASE WHEN 2 * degrees(atan(4.0::DOUBLE / (x1 - x0))) > 10 THEN 5 ELSE 4 END::INT AS vertices FROM ({SQL} SELECT * FROM gt)")
+def slight_turns(spark, sf_dir):
+    """Vertices of turned rings with a bent side, those of slight turns left out."""
+    x0, y0, x1, y1 = (C(c) for c in ("x0", "y0", "x1", "y1"))
+    ring = F.array(R.point(x0, y0), R.point((x0 + x1) / 2, y0 - 2), R.point(x1, y0), R.point(x1, y1), R.point(x0, y1))
+    turn = R.mapped(ring, lambda p: (p["x"] * 4 - p["y"] * 3) / 5, lambda p: (p["x"] * 3 + p["y"] * 4) / 5)
+    return gt_boxes(spark, sf_dir).select("ann_id", F.size(R.without_slight_turns(turn)).alias("vertices"))
