@@ -7,24 +7,13 @@ chain of records that wait for each other; the pairs left are checkpointed betwe
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in ``spark.checkpoint.dir``; in local mode alone, one of our own where none is named."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.mkdtemp(prefix="annulus-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+from annulus.operators.shared import shared_folder
 
 
 def cut(df: DataFrame) -> DataFrame:
