@@ -280,3 +280,17 @@ def test_points_inside(spark):
     rings = [(0, 0, 1.0, [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]), (0, 1, 1.0, [(0.0, 0.0), (9.0, 0.0), (9.0, 9.0), (8.0, 9.0), (8.0, 1.0), (1.0, 1.0), (1.0, 9.0), (0.0, 9.0)]), (0, 2, 1.0, [(0.0, 0.0), (5.0, 5.0), (9.0, 9.0)])]
     got = {x.id: x.inside for x in forests.prepared(spark.createDataFrame(rings, RING)).collect()}
     assert (got[0].x, got[0].y) == (2.0, 2.0) and planar.within(np.array(rings[1][3]), got[1].x, got[1].y) and not math.isnan(got[0].x)
+
+
+def test_polygons_of_source_images(spark):
+    square = lambda a, b, c, d: [[float(v) for v in (a, b, c, b, c, d, a, d)]]
+    rows = [(1, 10, 0.9, square(90, 10, 130, 50)), (2, 11, 0.8, square(0, 10, 40, 50)), (1, 12, 0.7, square(0, 0, 30, 30)), (1, 13, 0.6, square(10, 10, 20, 20)),
+            (1, 14, 0.05, square(50, 50, 60, 60)), (9, 15, 0.9, square(0, 0, 9, 9)), (3, 16, 0.9, [[0.0, 0.0]]), (3, 17, 0.4, square(0, 0, 30, 30))]
+    predictions = spark.createDataFrame(rows, "image_id long, id long, score double, segmentation array<array<double>>")
+    images = spark.createDataFrame([(1, "a", 0.0, 0.0), (2, "a", 90.0, 0.0), (3, "b", 500.0, 7.0)], "image_id long, source_image_name string, origin_x double, origin_y double")
+    found, counts = forests.source_polygons(predictions, images, min_score=0.1)
+    got = sorted((x.source_image_name, x.id, x.patch_id, x.area, len(x.holes), x.depth, min(p.x for p in x.exterior)) for x in found.collect())
+    assert got == [("a", 10, 1, 1600.0, 0, 0, 90.0), ("a", 12, 1, 900.0, 0, 0, 0.0), ("b", 17, 3, 900.0, 0, 0, 500.0)]
+    assert counts.first().asDict() == {"predictions": 8, "kept": 5, "low_score": 1, "invalid": 2}
+    nested, _ = forests.source_polygons(predictions, images, min_score=0.1, nested=True)
+    assert {x.id: (x.area, len(x.holes)) for x in nested.collect()} == {10: (1600.0, 0), 12: (800.0, 1), 17: (900.0, 0)}
