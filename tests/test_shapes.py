@@ -294,3 +294,38 @@ def test_polygons_of_source_images(spark):
     assert counts.first().asDict() == {"predictions": 8, "kept": 5, "low_score": 1, "invalid": 2}
     nested, _ = forests.source_polygons(predictions, images, min_score=0.1, nested=True)
     assert {x.id: (x.area, len(x.holes)) for x in nested.collect()} == {10: (1600.0, 0), 12: (800.0, 1), 17: (900.0, 0)}
+
+
+def test_outline_masks(spark):
+    from annulus.plans.masks import merged_runs
+
+    r = np.random.default_rng(11)
+    sides, masks = [], []
+    for _ in range(2):
+        rows, drawn = [], {}
+        for image in range(5):
+            for _ in range(int(r.integers(0, 3)) if image else 0):
+                ring = [tuple(p) for p in (r.uniform(-5, 45, (4, 2)).round(1)).tolist()]
+                hole = [(10.0, 10.0), (10.0, 20.0), (20.0, 20.0)]
+                rows.append((image, ring, [hole] if image % 2 else []))
+                for own in [ring, *rows[-1][2]]:
+                    points = [tuple(np.rint(p)) for p in own]
+                    for a, b in zip(points, points[1:] + points[:1], strict=True):
+                        for y in range(40):
+                            for x in range(40):
+                                d = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+                                t = min(1, max(0, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / d)) if d else 0
+                                if math.hypot(x - a[0] - t * (b[0] - a[0]), y - a[1] - t * (b[1] - a[1])) <= 2.5 + 1e-9:
+                                    drawn.setdefault(image, np.zeros((40, 40), bool))[y, x] = True
+        sides.append(spark.createDataFrame(rows, "image_id long, exterior array<struct<x:double,y:double>>, holes array<array<struct<x:double,y:double>>>"))
+        masks.append(drawn)
+    runs = [merged_runs(tracing.outline_runs(s, 5.0, 40), "image_id", "y") for s in sides]
+    for df, drawn in zip(runs, masks, strict=True):
+        got = {}
+        for x in df.collect():
+            got.setdefault(x.image_id, np.zeros((40, 40), bool))[x.y, x.x_start : x.x_end] = True
+        assert got.keys() == drawn.keys() and all((got[i] == drawn[i]).all() for i in got)
+    for x in tracing.mask_scores(*runs, spark.range(6).withColumnRenamed("id", "image_id"), 40).collect():
+        a, b = (m.get(x.image_id, np.zeros((40, 40), bool)) for m in masks)
+        want = (1, 1, 1) if not (a | b).any() else ((a == b).mean(), 2 * (a & b).sum() / (a.sum() + b.sum()), (a & b).sum() / (a | b).sum())
+        assert (x.accuracy, x.f1, x.iou) == pytest.approx(want)
