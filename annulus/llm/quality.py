@@ -123,14 +123,14 @@ def threshold(found: DataFrame, model: dict, bad: int, total: int) -> float:
     return a + (b - a) * (place - low)
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, rows: int = ROWS) -> dict | None:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, rows: int = ROWS, made: DataFrame | None = None) -> dict | None:
     """Model from the training rows of docs with a label; None where one of the labels has no row.
 
     A doc_id with several labels counts as its least, one with several texts as the least of their features. Texts are
-    not shuffled: features are made where the texts are, then joined with the labels.
+    not shuffled: features are made where the texts are, then joined with the labels. made: ``(doc_id, features)`` of docs, if at hand.
     """
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & training).groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    made = with_features(docs, "doc_id").join(known, "doc_id")
+    made = (with_features(docs, "doc_id") if made is None else made).join(known, "doc_id")
     scratch = Scratch(docs.sparkSession, "quality")
     found = scratch.keep(made.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.min("features").alias("features")), "features")
     counts = {x.quality: x.n for x in found.groupBy("quality").agg(F.count("*").alias("n")).collect()}
@@ -151,14 +151,25 @@ def scores(docs: DataFrame, model: dict | None) -> DataFrame:
     repeated rows and null ids change nothing; other columns are ignored, an empty table gives an empty result. Features are
     counted over the whole text, which one task holds.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return scores_of(with_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id"), model)
+
+
+def scores_of(made: DataFrame, model: dict | None) -> DataFrame:
+    """The same from ``made(doc_id, features)``."""
+    shared = made.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            x = np.array([features(t) for t in batch.column("text").to_pylist()]).reshape(-1, FEATURES)
+            x = batch.column("features").flatten().to_numpy().reshape(-1, FEATURES)
             far = raw_scores(x, m) - m["threshold"] if m else np.zeros(len(x))
             s = 1 / (1 + np.exp(-np.clip(far, -40, 40)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double, predicted int")
+    return made.select(F.col("doc_id").cast("long").alias("doc_id"), "features").mapInArrow(run, "doc_id long, score double, predicted int")
+
+
+def fitted_scores(docs: DataFrame, labels: DataFrame, training: Column, rows: int = ROWS) -> DataFrame:
+    """``scores`` of docs by the model that ``fit`` makes of them; features are made once and kept in the shared folder."""
+    made = Scratch(docs.sparkSession, "features").keep(with_features(docs, "doc_id"), "all")
+    return scores_of(made, fit(docs, labels, training, rows, made))

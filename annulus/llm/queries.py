@@ -62,8 +62,8 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = langid.held_out(3, 1)
-    model = quality.fit(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~out)
-    return quality.scores(docs, model).select("doc_id", out.alias("held_out"), "score", "predicted")
+    found = quality.fitted_scores(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"), ~out)
+    return found.select("doc_id", out.alias("held_out"), "score", "predicted")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

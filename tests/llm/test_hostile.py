@@ -97,3 +97,17 @@ def test_vectors_of_mixed_magnitude(spark):
     for at in range(len(scales)):
         own = [groups[at * 5 + i][0] for i in range(5)]
         assert min(own) >= 4
+
+
+def test_quality_of_repeated_rows_and_long_texts(spark):
+    from annulus.llm import quality
+
+    rows = [(i, " ".join(["good words here."] * (i % 9 + 1)) if i % 2 else "| 1 | x " * (i % 7 + 1)) for i in range(60)]
+    rows += [rows[3]] * 500 + [(3, "another text of the same id")] * 3 + [(None, "no id"), (70, None), (71, ""), (72, "long words. " * 150_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("features", F.lit("x"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    training = F.col("doc_id") % 3 != 1
+    once = sorted(map(str, quality.fitted_scores(docs, labels, training).collect()))
+    twice = sorted(map(str, quality.scores(docs, quality.fit(docs, labels, training)).collect()))
+    assert once == twice and len(once) == len(rows)
+    assert quality.fitted_scores(docs.limit(0), labels, training).count() == 0
