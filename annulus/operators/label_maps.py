@@ -36,6 +36,17 @@ def part_sizes(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -
     return np.bincount(part, b - a, len(y))[part].astype(int)
 
 
+def votes_at(cells: np.ndarray, y: np.ndarray, x: np.ndarray, labels: int, size: int) -> np.ndarray:
+    """The same for each label (rows) at some cells (columns) alone."""
+    r, (high, wide) = size // 2, cells.shape
+    found = np.zeros((labels + 1, len(y)), np.int64)  # the last for cells without a label
+    own = np.arange(len(y))
+    for dy in range(-r, r + 1):
+        for dx in range(-r, r + 1):
+            found[cells[np.clip(y + dy, 0, high - 1), np.clip(x + dx, 0, wide - 1)], own] += 1
+    return found[:-1]
+
+
 def votes(cells: np.ndarray, label: int, size: int) -> np.ndarray:
     """How many cells of the square of that size around each one have the label; the border's cells go on outside."""
     r = size // 2
@@ -53,13 +64,18 @@ def cleaned(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, smal
     y, a, b, label = y[order], a[order], b[order], label[order]
     top, left = y[0], a.min()
     kept = np.where(part_sizes(y, a, b, label) < small, -1, np.searchsorted(known := np.unique(label), label))
+    kept = kept.astype(np.min_scalar_type(-len(known) - 1))
     cells = np.repeat(kept, b - a).reshape(-1, b.max() - left)
     for size in sizes:
         open_ = cells < 0
         if not open_.any():
             break
-        best = np.argmax([votes(cells, k, size) for k in range(len(known))], axis=0)
-        cells = np.where(open_, best, cells)
+        row, at = np.nonzero(open_)
+        if len(row) * size * size < cells.size:  # else all cells at once
+            cells[row, at] = np.argmax(votes_at(cells, row, at, len(known), size), axis=0)
+        else:
+            best = np.argmax([votes(cells, k, size) for k in range(len(known))], axis=0)
+            cells = np.where(open_, best, cells)
     fresh = np.ones(cells.shape, bool)
     fresh[:, 1:] = cells[:, 1:] != cells[:, :-1]
     row, start = np.nonzero(fresh)
@@ -68,13 +84,14 @@ def cleaned(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, smal
     return np.stack([row + top, start + left, end + left, known[cells[row, start]]])
 
 
-def cleaned_maps(runs: DataFrame, small: int = SMALL, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+def cleaned_maps(runs: DataFrame, small: int = SMALL, sizes: tuple[int, ...] = SIZES, together: bool = False) -> DataFrame:
     """``runs(image_id, y, x_start, x_end, label)`` that cover a rectangle of each image -> the runs of its cleaned map.
 
-    Runs are shuffled by image; a task holds one image's map. An empty table gives an empty result.
+    Runs are shuffled by image, but for those that lie ``together`` by image already; a task holds one image's map. An empty table gives an empty result.
     """
     names = [x.split()[0] for x in LABELLED.split(", ")]
-    dealt = runs.select(*[F.col(c).cast("long").alias(c) for c in names]).repartition("image_id").sortWithinPartitions("image_id")
+    dealt = runs.select(*[F.col(c).cast("long").alias(c) for c in names])
+    dealt = dealt if together else dealt.repartition("image_id").sortWithinPartitions("image_id")
 
     def rows(image: int, held: list[np.ndarray]) -> pa.RecordBatch:
         found = cleaned(*np.concatenate(held, axis=1), small, sizes)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import io
 from contextlib import redirect_stdout
 
+import numpy as np
 import pytest
 
 from __spark_entry__ import queries
+from annulus.operators import label_maps, tracing
 from annulus.plans import contours
 
 DRAWN = ["mask_boundary_iou", "heatmap_peaks", "label_segments"]
@@ -49,3 +51,33 @@ def test_segments_of_images_cut_by_batches(spark):
     finally:
         spark.conf.set(name, before)
     assert got == want
+
+
+@pytest.mark.parametrize("name", ["mask_rings", "mask_round_trip", "cleaned_labels"])
+def test_runs_of_masks_are_not_shuffled(spark, sf_dir, name):
+    text = io.StringIO()
+    with redirect_stdout(text):
+        queries()[name](spark, sf_dir).explain()
+    # the boxes' rows, the boxes by image, and sums by image
+    assert text.getvalue().count("Exchange hashpartitioning") == 3 and "Window" not in text.getvalue()
+
+
+def test_union_of_runs():
+    rng = np.random.default_rng(1)
+    y, a = rng.integers(0, 5, 60), rng.integers(0, 40, 60)
+    b = a + rng.integers(1, 5, 60)
+    cells = np.zeros((5, 50), bool)
+    for v, u, w in zip(y, a, b, strict=True):
+        cells[v, u:w] = True
+    got = np.zeros((5, 50), int)
+    for v, u, w in zip(*tracing.union(y, a, b), strict=True):
+        got[v, u:w] += 1
+        assert (u == 0 or not cells[v, u - 1]) and not cells[v, w]
+    assert (got == cells).all()
+
+
+def test_votes_at_some_cells():
+    cells = np.random.default_rng(2).integers(-1, 3, (9, 11))
+    y, x = (v.ravel() for v in np.indices(cells.shape))
+    for size in (3, 7):
+        assert (label_maps.votes_at(cells, y, x, 3, size) == [label_maps.votes(cells, k, size).ravel() for k in range(3)]).all()
