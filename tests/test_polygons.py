@@ -266,3 +266,22 @@ def test_tangent_angles():
 def test_rings_of_flat_columns_match_structs(spark):
     df = spark.createDataFrame([(1, 1, 0.5, [(0.0, 0.0), (4.0, 0.0), (0.0, 3.0)], [])], SCHEMA.format(key="ann_id"))
     assert df.select(R.flat(F.col("exterior")).alias("f")).first().f == [0, 0, 4, 0, 0, 3]
+
+
+def test_convex_rings_are_told_from_others():
+    def told(*tables):
+        e = np.concatenate(tables)
+        return planar.convex_rings(e, np.repeat(np.arange(len(tables)), list(map(len, tables)))), tables
+
+    star = [(math.cos(4 * math.pi * k / 5), math.sin(4 * math.pi * k / 5)) for k in range(5)]  # turns one way, twice around
+    found, tables = told(edges(BOX[::-1]), edges(star), edges(BOX, HOLE), edges([(0, 0), (10, 0), (5, 1e-9)]), edges([(0, 0), (9, 0), (1, 1), (0, 9)]), edges([(0, 0), (4, 0), (0, 3)]))
+    assert found.owner.tolist() == [0, 5] and found.area.tolist() == [100, 6] and found.size.tolist() == [4, 3]
+    for own, area in zip(found.owner, found.area, strict=True):
+        assert [p[2] for p in planar.region([tables[own]], planar.odd)] == [pytest.approx(area)]
+    r = np.random.default_rng(5)
+    for _ in range(200):
+        own = edges([tuple(p) for p in r.uniform(0, 9, (4, 2))])
+        found, _ = told(own)
+        if len(found.size):
+            (part,) = planar.region([own], planar.odd)
+            assert len(part[0]) == 4 and part[2] == pytest.approx(found.area[0])
