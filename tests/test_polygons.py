@@ -285,3 +285,11 @@ def test_convex_rings_are_told_from_others():
         if len(found.size):
             (part,) = planar.region([own], planar.odd)
             assert len(part[0]) == 4 and part[2] == pytest.approx(found.area[0])
+
+
+def test_bands_of_many_rings_are_those_of_each():
+    r = np.random.default_rng(6)
+    rings = [r.uniform(0, 40, (n, 2)) for n in r.integers(1, 9, 60)] + [np.array(BOX, float), np.array([*BOX, BOX[-1], BOX[0]], float), np.zeros((4, 2)), np.array([(0, 0), (9, 0), (0, 0.01)], float)]
+    found = contours.bands(rings)
+    assert len(found) == len(rings) and all(np.array_equal(a, contours.band_edges(b)) for a, b in zip(found, rings, strict=True))
+    assert contours.bands([]) == []
