@@ -329,3 +329,13 @@ def test_outline_masks(spark):
         a, b = (m.get(x.image_id, np.zeros((40, 40), bool)) for m in masks)
         want = (1, 1, 1) if not (a | b).any() else ((a == b).mean(), 2 * (a & b).sum() / (a.sum() + b.sum()), (a & b).sum() / (a | b).sum())
         assert (x.accuracy, x.f1, x.iou) == pytest.approx(want)
+
+
+def test_runs_of_many_polygons_are_those_of_each():
+    r = np.random.default_rng(9)
+    for far in (1.0, 1e12):  # places that make one number, and such that don't
+        own = [np.concatenate([np.concatenate([q, np.roll(q, -1, axis=0)], axis=1) for q in r.uniform(-9, 30, (r.integers(1, 3), 5, 2)) * [far, 1]]) for _ in range(40)]
+        found = tracing.rows_of_runs(np.concatenate(own), np.repeat(np.arange(40) * (1 if far == 1 else 10**6), list(map(len, own))))
+        for k, e in enumerate(own):
+            assert found[found[:, 0] == k * (1 if far == 1 else 10**6), 1:].tolist() == tracing.polygon_runs(e).tolist()
+    assert not len(tracing.polygon_runs(np.zeros((0, 4))))
