@@ -20,9 +20,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annulus.llm.common import Scratch, text_key
+from annulus.llm.common import Scratch, first_rows, text_key
 from annulus.llm.components import connected_components
-from annulus.llm.near_copies import first_rows
 
 SHINGLE_WORDS, MAX_BITS, BLOCKS, SMALL_BUCKET = 3, 2, 4, 64
 STEP = 65_536

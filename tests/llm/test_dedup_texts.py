@@ -255,3 +255,38 @@ def test_near_copies_among_texts_with_a_common_passage(spark, rounds, monkeypatc
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = near_copies.drop_near_copies(docs, small_bucket=2).collect()
     assert sorted(x.doc_id for x in got) == want and 10 < len(links) < 400 and len(want) > 20
+
+
+def test_near_dedup_links_close_fingerprints(spark, sf_dir, monkeypatch):
+    import corpus_pipeline
+    from annulus.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "_all_pairs", lambda rows, similarity: rows.select(F.col("uid").alias("a"), F.col("uid").alias("b"), F.col("n").alias("m")).limit(0))
+    r = random.Random(5)
+    base = ["".join(r.choices("abcdefgh", k=6)) for _ in range(3000)]
+    texts = [" ".join(base), " ".join([*base, "more"]), " ".join(reversed(base))]
+    assert (fingerprint(texts[0]) ^ fingerprint(texts[1])).bit_count() <= 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(x.doc_id for x in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == [0, 2]
+
+
+def test_rare_pairs_of_loosely_similar_texts(spark):
+    from annulus.llm import near_copies
+    from annulus.llm.common import Scratch
+
+    r = random.Random(8)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    base, texts = [word() for _ in range(150)], []
+    for _ in range(80):
+        own = list(base)
+        for at in r.sample(range(150), r.choice([1, 2, 4, 5, 6])):
+            own[at] = word()
+        texts.append(" ".join(own))
+    sets = [near_copies.shingles(t) for t in texts]
+    alike = lambda x, y: len(set(x.tolist()) & set(y.tolist())) / len(set(x.tolist()) | set(y.tolist()))
+    close = {(i, j) for i in range(80) for j in range(i + 1, 80) if alike(sets[i], sets[j]) >= 0.8}
+    rows = spark.createDataFrame([(i, len(x), i) for i, x in enumerate(sets)], "uid long, n long, root long")
+    own = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "uid long, own binary")
+    pairs = near_copies._rare_pairs(Scratch(spark, "test"), rows, own, 0.8).collect()
+    assert close <= {(x.a, x.b) for x in pairs} and 100 < len(close)
+    assert len(pairs) < len(close) + 300  # all pairs are 3160
