@@ -202,6 +202,21 @@ def test_conversations(spark, tmp_path):
     assert len(own) == 1 and tuple(own[0])[:4] == (-1, 2, hashlib.sha256(f"user\n{said}\nassistant\n{said}\n".encode()).hexdigest(), len(said))
 
 
+def late(turns):
+    return ("long: " if len(turns) >= 100 else "") + "".join(f"{r}: {t}\n" for r, t in turns)
+
+
+def test_templates_that_change_after_many_turns(spark):
+    turns = [("user" if i % 2 == 0 else "assistant", f"turn {i}") for i in range(130)]
+    made = spark.createDataFrame([(1, i, *x) for i, x in enumerate(turns)], "conv_id long, turn long, role string, text string")
+    output = ""
+    for i, x in enumerate(chat_format.format_conversations(made, late).orderBy("place").collect()):
+        output = output[: x.start] + x.piece
+        assert output == late(turns[: i + 1])
+        assert (x.rewritten > 0) == (i == 99)
+    assert chat_format.instruction_template.local
+
+
 RUN = re.compile("[A-Za-zÀ-ÿ]+")
 
 
