@@ -6,6 +6,8 @@ import random
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from annulus.operators import rounds
 
 PAIRS = "image_id long, pred_id long, place long, ann_id long, iou double, regular boolean, reusable boolean"
@@ -80,3 +82,15 @@ def test_optimal_match_has_the_greatest_total_of_each_image(spark):
     assert abs(sum(x.iou for x in got) - best) < 1e-9
     chain = [(0, i + d, 0, i, 0.5, True, False) for i in range(40) for d in (0, 1)]
     assert rounds.optimal_match(spark.createDataFrame(chain, PAIRS)).count() == 40
+
+
+def test_in_order_at_once_equals_rounds_for_each_bit(spark):
+    r = random.Random(21)
+    rows = [(i, 10 * i + p, p, a, r.choice([0.5, 0.6, 0.7]), r.getrandbits(3), r.getrandbits(3), a == 3) for i in range(30) for p in range(6) for a in range(4) if r.random() < 0.7]
+    pairs = spark.createDataFrame(rows, "image_id long, pred_id long, place long, ann_id long, iou double, reach long, regular long, reusable boolean")
+    got = {(x.image_id, x.pred_id): (x.first, x.second) for x in rounds.in_order_at_once(pairs, 7).collect()}
+    for bit in range(3):
+        own = pairs.where(F.getbit("reach", F.lit(bit)) == 1).withColumn("regular", F.getbit("regular", F.lit(bit)) == 1)
+        want = {(x.image_id, x.pred_id): x.regular for x in rounds.in_order(own, ["image_id"]).collect()}
+        assert want == {k: bool(v[0] >> bit & 1) for k, v in got.items() if (v[0] | v[1]) >> bit & 1}
+    assert rounds.in_order_at_once(pairs.limit(0), 7).count() == 0
