@@ -12,6 +12,8 @@ share one of the rarest shingles of both at places that leave room for the overl
 exact). What is left goes on with another
 centre, and after ``ROUNDS`` of them is paired up, so that no pair of a bucket is left out. Only groups are asked for:
 once the centres' links are known, no pair of texts that these already join, however indirectly, is made or measured.
+Nor are all others measured at once: ``TURNS`` times, each text's ``LIKELIEST`` pairs by what their heads share come
+first, and pairs of texts that are joined by then go unmeasured; what is left after that is measured whole.
 """
 
 from __future__ import annotations
@@ -25,12 +27,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from annulus.llm.common import Scratch, first_rows, text_key
 from annulus.llm.components import connected_components
 from annulus.llm.simhash import close_fingerprints, fingerprint
 
 WORDS, SIMILARITY, BANDS, DEPTH, SMALL_BUCKET, ROUNDS, STEP, BATCH, SEED, PART, CELLS, HEAD = 5, 0.8, 25, 5, 64, 4, 1024, 64, 11, 1 << 20, 1 << 20, 32
+LIKELIEST, TURNS = 3, 4
 MULTIPLIERS, OFFSETS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * DEPTH), np.uint64) | np.uint64(1)
 
 
@@ -123,9 +127,12 @@ def _may_link(similarity: float) -> Column:
 
 
 def _all_pairs(rows: DataFrame, similarity: float) -> DataFrame:
-    """Pairs of each bucket of ``rows(bucket, uid, n, root)`` that may be similar and whose roots differ."""
-    other = rows.select("bucket", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    return rows.withColumnRenamed("uid", "a").join(other, "bucket").where(_may_link(similarity)).select("a", "b", "m")
+    """``(a, b, m, root, other)``: pairs of each bucket of ``rows(bucket, uid, n, root)`` that may be similar and whose roots differ,
+    each in the first bucket that both are in."""
+    rows = rows.join(rows.groupBy("uid").agg(F.collect_list("bucket").alias("own")), "uid")
+    other = rows.select("bucket", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("own").alias("theirs"))
+    once = F.array_min(F.array_intersect("own", "theirs")) == F.col("bucket")
+    return rows.withColumnRenamed("uid", "a").join(other, "bucket").where(_may_link(similarity) & once).select("a", "b", "m", "root", "other")
 
 
 def _times(sets: DataFrame) -> np.ndarray:
@@ -150,12 +157,13 @@ def _cells(own: np.ndarray) -> np.ndarray:
 
 
 def _rare_pairs(scratch: Scratch, rows: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The same of distinct ``rows(uid, n, root)``, whatever their buckets: pairs that share one of the rarest shingles of both, where
-    what comes behind it in both suffices for the overlap.
+    """The same of distinct ``rows(uid, n, root)``, whatever their buckets, and ``like``, the share of the shorter head that both have:
+    pairs that share one of the rarest shingles of both, where what comes behind it in both suffices for the overlap.
 
     Any order of shingles that is one for all texts leaves out no pair: the first shingle that a similar pair shares has so many
     behind it on both sides. Theirs is how often shingles of their cell occur in these texts, then the shingle itself. The ``HEAD``
-    rarest of each text come along: what two texts share is no more than what their heads share and all behind one head.
+    rarest of each text come along: what two texts share is no more than what their heads share and all behind one head. A pair
+    whose heads share any is made at the first of these alone, where most is behind it.
     """
     opened = scratch.keep(rows.join(sets, "uid").select("uid", "n", "root", "own"), "each", BATCH)
     times, named = _times(opened), ["uid", "n", "root"]
@@ -174,8 +182,11 @@ def _rare_pairs(scratch: Scratch, rows: DataFrame, sets: DataFrame, similarity:
     other = first.select("shingle", F.col("uid").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"), F.col("place").alias("at"), F.col("head").alias("top"))
     least = (F.col("n") + F.col("m")) * (similarity / (1 + similarity)) - 1e-6
     room = F.least(F.col("n") - F.col("place"), F.col("m") - F.col("at")) + 1 >= least
-    heads = F.size(F.array_intersect("head", "top")) + F.greatest(F.col("n") - F.size("head"), F.col("m") - F.size("top")) >= least
-    return first.withColumnRenamed("uid", "a").join(other, "shingle").where(_may_link(similarity) & room & heads).select("a", "b", "m").distinct()
+    both = F.array_intersect("head", "top")
+    heads = F.size(both) + F.greatest(F.col("n") - F.size("head"), F.col("m") - F.size("top")) >= least
+    once = F.coalesce(F.get(both, F.lit(0)) == F.col("shingle"), F.lit(True))
+    met = first.withColumnRenamed("uid", "a").join(other, "shingle").where(_may_link(similarity) & room & heads & once)
+    return met.select("a", "b", "m", "root", "other", (F.size(both) / F.least(F.size("head"), F.size("top"))).alias("like")).distinct()
 
 
 def _fingerprint_pairs(scratch: Scratch, nodes: DataFrame) -> DataFrame:
@@ -189,6 +200,34 @@ def _fingerprint_pairs(scratch: Scratch, nodes: DataFrame) -> DataFrame:
     return scratch.keep(same.unionByName(ends.select("a", "b", "m")), "close")
 
 
+def _with_root(rows: DataFrame, joined: DataFrame, node: str, root: str) -> DataFrame:
+    """rows and the component of their node in ``joined(node, component)``, as root: the node itself where it has none."""
+    of = joined.select(F.col("node").alias(node), F.col("component").alias(root))
+    return rows.join(of, node, "left").withColumn(root, F.coalesce(root, node))
+
+
+def _in_turns(scratch: Scratch, pairs: DataFrame, joined: DataFrame, sets: DataFrame, near: Column) -> DataFrame:
+    """``pairs(a, b, m, root, other, like)``, roots by ``joined(node, component)`` -> links ``(a, b)`` that join what all similar ones of
+    them join: pairs whose ends are joined when their turn comes are not measured, all others are."""
+    found, names = [], ["a", "b", "m", "like"]
+    for i in range(TURNS):
+        place = lambda end: F.row_number().over(W.partitionBy(end).orderBy(F.desc("like"), "a", "b"))
+        likely = pairs.where("like > 0").withColumn("now", (place("a") <= LIKELIEST) | (place("b") <= LIKELIEST))
+        likely = scratch.keep(likely, f"likely{i}")
+        chosen = likely.where("now")
+        if chosen.isEmpty():
+            break
+        found.append(scratch.keep(_measured(chosen.select("a", "b", "m"), sets).where(near).select("a", "b"), f"found{i}", BATCH))
+        ends = _with_root(_with_root(found[-1], joined, "a", "x"), joined, "b", "y")
+        moved = connected_components(scratch.spark, ends.select(F.col("x").alias("a"), F.col("y").alias("b")))
+        rest = likely.where("not now").drop("now").unionByName(pairs.where("like = 0"))
+        rest = _with_root(_with_root(rest.withColumnsRenamed({"root": "u", "other": "v"}), moved, "u", "root"), moved, "v", "other")
+        pairs = scratch.keep(rest.where("root <> other").select(*names, "root", "other"), f"rest{i}")
+        if i + 1 < TURNS:
+            joined = scratch.keep(_with_root(joined.withColumnRenamed("component", "u"), moved, "u", "component").select("node", "component").unionByName(moved).distinct(), f"joined{i}")
+    return reduce(DataFrame.unionByName, found, _measured(pairs.select("a", "b", "m"), sets).where(near).select("a", "b"))
+
+
 def similar_pairs(scratch: Scratch, shared: DataFrame, close: DataFrame, sets: DataFrame, similarity: float, small_bucket: int) -> DataFrame:
     """``shared(bucket, uid, n, size)`` and ``close(a, b, m)`` -> links ``(a, b)`` whose components are those of all pairs of a bucket
     or of close that are similar."""
@@ -206,14 +245,10 @@ def similar_pairs(scratch: Scratch, shared: DataFrame, close: DataFrame, sets: D
     known = _measured(close, sets).where(near).select("a", "b")
     stars = scratch.keep(reduce(DataFrame.unionByName, [at.where(near).select("a", "b") for at in measured], known).distinct(), "stars", BATCH)
     joined = connected_components(scratch.spark, stars)
-
-    def with_root(rows: DataFrame, node: str, root: str) -> DataFrame:
-        of = joined.select(F.col("node").alias(node), F.col("component").alias(root))
-        return rows.join(of, node, "left").withColumn(root, F.coalesce(root, node))
-
-    pairs = [_all_pairs(with_root(shared.where(F.col("size") <= small_bucket), "uid", "root"), similarity)]
+    with_root = lambda rows, node, root: _with_root(rows, joined, node, root)
+    pairs = _all_pairs(with_root(shared.where(F.col("size") <= small_bucket), "uid", "root"), similarity)
     if not measured:
-        return scratch.keep(stars.unionByName(_measured(pairs[0], sets).where(near).select("a", "b")), "links", BATCH)
+        return scratch.keep(stars.unionByName(_measured(pairs.select("a", "b", "m"), sets).where(near).select("a", "b")), "links", BATCH)
     every = reduce(DataFrame.unionByName, [at.withColumn("round", F.lit(i)) for i, at in enumerate(measured)])
     keys = ["round", "bucket"]
     ring = with_root(with_root(every.where(~near & around), "a", "centre"), "b", "root").where("root <> centre")
@@ -224,16 +259,16 @@ def similar_pairs(scratch: Scratch, shared: DataFrame, close: DataFrame, sets: D
     sizes = scratch.keep(count(ring, "r").join(count(inner, "i"), keys).select(*keys, wide.alias("wide")), "wide")
     few, many = (sizes.where(x).select(*keys) for x in ("not wide", "wide"))
     met = ring.join(few, keys).join(inner, keys).where(F.col("own") >= F.col("far") - limit - slack)
-    pairs.append(met.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"), F.when(F.col("b") > F.col("c"), F.col("n")).otherwise(F.col("m")).alias("m")))
+    met = met.select(F.least("b", "c").alias("a"), F.greatest("b", "c").alias("b"), F.when(F.col("b") > F.col("c"), F.col("n")).otherwise(F.col("m")).alias("m"), "root", F.col("centre").alias("other"))
     # what is open in large buckets, each text once however many buckets it shares with others
     left = with_root(active, "uid", "root")
     mixed = left.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most").select("bucket")
     open_ = left.join(mixed, "bucket", "left_semi").select("uid", "n", "root")
     open_ = open_.unionByName(ring.join(many, keys, "left_semi").select(F.col("b").alias("uid"), "n", "root"))
     open_ = open_.unionByName(inner.join(many, keys, "left_semi").select(F.col("c").alias("uid"), F.col("m").alias("n"), F.col("centre").alias("root")))
-    pairs.append(_rare_pairs(scratch, open_.distinct(), sets, similarity))
-    more = _measured(reduce(DataFrame.unionByName, pairs), sets).where(near).select("a", "b")
-    return scratch.keep(stars.unionByName(more).distinct(), "links", BATCH)
+    rare = scratch.keep(_rare_pairs(scratch, open_.distinct(), sets, similarity), "rare")
+    pairs = rare.unionByName(pairs.unionByName(met).withColumn("like", F.lit(0.0)))
+    return scratch.keep(stars.unionByName(_in_turns(scratch, pairs, joined, sets, near)).distinct(), "links", BATCH)
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, small_bucket: int = SMALL_BUCKET) -> DataFrame:
@@ -257,7 +292,8 @@ def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SI
     sets = scratch.keep(_sets(docs, asked, words), "sets", BATCH)
     scratch.drop("rows", "sizes", "least")
     links = similar_pairs(scratch, shared, close, sets, similarity, small_bucket)
-    scratch.drop("shared", "close", "sets", "each", "first", "stars", "ring", "wide", *[f"{x}{i}" for x in ("far", "at") for i in range(ROUNDS)])
+    scratch.drop("shared", "close", "sets", "each", "first", "rare", "stars", "ring", "wide", *[f"{x}{i}" for x in ("far", "at") for i in range(ROUNDS)])
+    scratch.drop(*[f"{x}{i}" for x in ("likely", "found", "rest", "joined") for i in range(TURNS)])
     comps = connected_components(spark, links).select(F.col("node").alias("uid"), F.col("component").alias("root"))
     named = nodes.join(comps, "uid", "left").groupBy(F.coalesce("root", "uid").alias("root")).agg(F.min("first").alias("first"))
     firsts = scratch.keep(named.select("first.doc_id", "first.text_key"), "firsts")

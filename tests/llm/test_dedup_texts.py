@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -290,3 +291,48 @@ def test_rare_pairs_of_loosely_similar_texts(spark):
     pairs = near_copies._rare_pairs(Scratch(spark, "test"), rows, own, 0.8).collect()
     assert close <= {(x.a, x.b) for x in pairs} and 100 < len(close)
     assert len(pairs) < len(close) + 300  # all pairs are 3160
+
+
+def test_near_dedup_measures_no_pairs_of_texts_joined_meanwhile(spark, monkeypatch):
+    from annulus.llm import near_copies
+    from annulus.llm.common import Scratch
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choices("abcdefgh", k=6))
+    texts = []
+    for _ in range(3):  # each text a few words off an earlier one of its group: few pairs are similar, most are joined
+        group = [[word() for _ in range(150)]]
+        for _ in range(59):
+            own = list(r.choice(group[-8:]))
+            for at in r.sample(range(150), 2):
+                own[at] = word()
+            group.append(own)
+        texts += [" ".join(x) for x in group]
+    sets = [near_copies.shingles(t) for t in texts]
+    alike = lambda i, j: len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j]))
+    every = [(i, j, alike(i, j)) for i in range(180) for j in range(i + 1, 180) if i // 60 == j // 60]
+
+    def groups(links):
+        root = list(range(180))
+        while any(root[i] != root[j] for i, j in links):
+            for i, j in links:
+                root[i] = root[j] = min(root[i], root[j])
+        return root
+
+    asked, measured = [], near_copies._measured
+
+    def counted(pairs, sets):
+        asked.append(pairs.count())
+        return measured(pairs, sets)
+
+    monkeypatch.setattr(near_copies, "_measured", counted)
+    rows = [(i, j, len(sets[j]), i, j, 0.0 if (i + j) % 9 == 0 else round(a, 1)) for i, j, a in every]  # coarse, some not told at all
+    pairs = spark.createDataFrame(rows, "a long, b long, m long, root long, other long, like double")
+    own = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sets)], "uid long, own binary")
+    start = spark.createDataFrame([(0, 0), (1, 0)], "node long, component long")
+    told = pairs.replace(1, 0, ["root", "other"]).where("root <> other")
+    got = near_copies._in_turns(Scratch(spark, "test"), told, start, own, F.col("far") <= 0.2 + 1e-9).collect()
+    want = [(i, j) for i, j, a in every if a >= 0.8]
+    assert {(x.a, x.b) for x in got} <= set(want)
+    assert groups([(0, 1), *((x.a, x.b) for x in got)]) == groups([(0, 1), *want])
+    assert len(set(groups(want))) < 120 and sum(asked) < len(every) / 2
