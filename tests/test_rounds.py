@@ -94,3 +94,16 @@ def test_in_order_at_once_equals_rounds_for_each_bit(spark):
         want = {(x.image_id, x.pred_id): x.regular for x in rounds.in_order(own, ["image_id"]).collect()}
         assert want == {k: bool(v[0] >> bit & 1) for k, v in got.items() if (v[0] | v[1]) >> bit & 1}
     assert rounds.in_order_at_once(pairs.limit(0), 7).count() == 0
+
+
+def test_groups_keep_their_last_labels_alone(spark):
+    from pathlib import Path
+
+    from annulus.operators.shared import shared_folder
+
+    tables = lambda: {p.parent for p in Path(shared_folder(spark)).rglob("part-*")}
+    before = tables()
+    chain = [(i, i) for i in range(60)] + [(i + 1, i) for i in range(59)] + [(100, 100)]
+    found = rounds.groups_of(spark.createDataFrame(chain, "ann_id long, pred_id long")).collect()
+    assert {(x.ann_id, x.group) for x in found} == {(i, 0) for i in range(60)} | {(100, 100)} and len(found) == len(chain)
+    assert len(tables() - before) == 1
