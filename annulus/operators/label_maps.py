@@ -9,12 +9,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from annulus.operators import drawing
+
 LABELLED = "image_id long, y long, x_start long, x_end long, label long"
 SMALL, SIZES = 20, (3, 7)
 
 
-def part_sizes(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarray:
-    """For runs sorted by (y, a) that cover their rows, the cells of the part that each belongs to: runs of one label that share a side."""
+def part_sizes(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, high: np.ndarray | int = 1) -> np.ndarray:
+    """For runs sorted by (y, a) that cover their rows, the cells of the part that each belongs to: runs of one label that share a side.
+    A run's row stands for ``high`` equal ones."""
     wide = int(b.max(initial=0)) + 1
     starts, ends = y * wide + a, y * wide + b
     lo, hi = np.searchsorted(ends, starts + wide, "right"), np.searchsorted(starts, ends + wide, "left")  # the next row's runs that meet it
@@ -33,7 +36,7 @@ def part_sizes(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray) -
         i, j = i[open_], j[open_]
     while (part[part] != part).any():
         part = part[part]
-    return np.bincount(part, b - a, len(y))[part].astype(int)
+    return np.bincount(part, (b - a) * high, len(y))[part].astype(int)
 
 
 def votes_at(cells: np.ndarray, y: np.ndarray, x: np.ndarray, labels: int, size: int) -> np.ndarray:
@@ -55,27 +58,48 @@ def votes(cells: np.ndarray, label: int, size: int) -> np.ndarray:
     return near[size:, size:] - near[:-size, size:] - near[size:, :-size] + near[:-size, :-size]
 
 
-def cleaned(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, small: int = SMALL, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
-    """The runs (y, a, b, label) of a map whose parts under ``small`` cells take the label that is most frequent around each of their cells.
+def cleaned_cells(cells: np.ndarray, labels: int, small: int = SMALL, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """The cells (labels from 0) of a map whose parts under ``small`` cells take the label that is most frequent around each of their cells.
 
-    Of equally frequent ones the least; where no cell around has a label, the map's least. The runs cover a rectangle.
+    Of equally frequent ones the least; where no cell around has a label, the least. Parts are found on stretches of equal rows.
     """
-    order = np.lexsort((a, y))
-    y, a, b, label = y[order], a[order], b[order], label[order]
-    top, left = y[0], a.min()
-    kept = np.where(part_sizes(y, a, b, label) < small, -1, np.searchsorted(known := np.unique(label), label))
-    kept = kept.astype(np.min_scalar_type(-len(known) - 1))
-    cells = np.repeat(kept, b - a).reshape(-1, b.max() - left)
+    first = np.flatnonzero(np.append(True, (cells[1:] != cells[:-1]).any(axis=1)))
+    high = np.diff(np.append(first, len(cells)))
+    rows = cells[first]
+    fresh = np.ones(rows.shape, bool)
+    fresh[:, 1:] = rows[:, 1:] != rows[:, :-1]
+    y, a = np.nonzero(fresh)
+    b = np.append(a[1:], 0)
+    b[np.append(y[1:] != y[:-1], True)] = cells.shape[1]
+    few = np.flatnonzero(part_sizes(y, a, b, rows[y, a], high[y]) < small)
+    if not len(few):
+        return cells
+    cells = cells.astype(np.min_scalar_type(-labels - 1))  # a copy
+    for k in few:
+        cells[first[y[k]] : first[y[k]] + high[y[k]], a[k] : b[k]] = -1
     for size in sizes:
         open_ = cells < 0
         if not open_.any():
             break
         row, at = np.nonzero(open_)
         if len(row) * size * size < cells.size:  # else all cells at once
-            cells[row, at] = np.argmax(votes_at(cells, row, at, len(known), size), axis=0)
+            cells[row, at] = np.argmax(votes_at(cells, row, at, labels, size), axis=0)
         else:
-            best = np.argmax([votes(cells, k, size) for k in range(len(known))], axis=0)
+            best = np.argmax([votes(cells, k, size) for k in range(labels)], axis=0)
             cells = np.where(open_, best, cells)
+    return cells
+
+
+def cleaned(y: np.ndarray, a: np.ndarray, b: np.ndarray, label: np.ndarray, small: int = SMALL, sizes: tuple[int, ...] = SIZES) -> np.ndarray:
+    """The runs (y, a, b, label) of a map whose parts under ``small`` cells take the label that is most frequent around each of their cells.
+
+    Of equally frequent ones the least; where no cell around has a label, the map's least. The runs cover a rectangle.
+    """
+    order = np.lexsort((a, y))
+    y, a, b, label = y[order], a[order], b[order], label[order]
+    top, left = y[0], a.min()
+    known, kind = np.unique(label, return_inverse=True)
+    cells = cleaned_cells(np.repeat(kind, b - a).reshape(-1, b.max() - left), len(known), small, sizes)
     fresh = np.ones(cells.shape, bool)
     fresh[:, 1:] = cells[:, 1:] != cells[:, :-1]
     row, start = np.nonzero(fresh)
@@ -111,3 +135,18 @@ def cleaned_maps(runs: DataFrame, small: int = SMALL, sizes: tuple[int, ...] = S
             yield rows(image, held)
 
     return dealt.mapInArrow(run, LABELLED)
+
+
+def cleaned_sizes(boxes: DataFrame, side: int, inset: int, small: int = SMALL, sizes: tuple[int, ...] = SIZES) -> DataFrame:
+    """``boxes(image_id, x0, y0, x1, y1, has_hole)`` -> image_id, label (1 in the union of an image's boxes, 0 outside) and pixels of each label
+    of the cleaned map of side x side cells; images without a cell in the mask are left out. Boxes are drawn in their image's task."""
+
+    def found(mask: np.ndarray) -> list[np.ndarray]:
+        if not mask.any():
+            return [np.zeros(0, np.int64)] * 2
+        # a map of one label keeps it, whatever its size
+        ones = mask.size if mask.all() else int(np.count_nonzero(cleaned_cells(mask.view(np.int8), 2, small, sizes)))
+        pixels = np.array([mask.size - ones, ones])
+        return [np.flatnonzero(pixels), pixels[pixels > 0]]
+
+    return drawing.each_image(boxes, ["x0", "y0", "x1", "y1", "has_hole"], [], lambda: drawing._mask(side, inset, found), "image_id long, label long, pixels long")

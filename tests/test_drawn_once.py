@@ -6,10 +6,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from annulus import registry
-from annulus.operators import drawing
+from annulus.operators import drawing, label_maps, tracing
+from annulus.plans.masks import merged_runs
+from annulus.plans.polygons import leaned
+from annulus.sources.boxes import INSET, SIDE, gt_boxes, polygons, pred_boxes
 
 
-@pytest.mark.parametrize("name", ["image_masks", "background_gaps", "vertex_heatmap", "junction_counts", "panoptic_quality"])
+@pytest.mark.parametrize("name", ["image_masks", "background_gaps", "vertex_heatmap", "junction_counts", "panoptic_quality", "cleaned_labels", "outline_mask_scores"])
 def test_cells_stay_in_the_task_of_their_image(spark, sf_dir, name):
     plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "Window" not in plan and "Join" not in plan
@@ -44,3 +47,25 @@ def test_masks_without_a_cell_and_at_the_edge(spark):
     assert sorted(map(tuple, drawing.gap_sums(boxes, 16, 6).collect())) == [(2, 3, 18), (3, 4, 16)]
     total = drawing.heat_sums(boxes.where(F.col("image_id") == 4), 16, 6, 1, [1.0, 0.5, 0.25]).collect()
     assert [tuple(r) for r in total] == [(4, 16, 4 * (1 + 0.5 + 0.5 + 0.25))]
+
+
+def test_cleaned_sizes_are_those_of_the_cleaned_runs(spark, sf_dir):
+    boxes = gt_boxes(spark, sf_dir)
+    runs = label_maps.cleaned_maps(drawing.label_runs(boxes, SIDE, INSET), together=True)
+    want = runs.groupBy("image_id", "label").agg(F.sum(F.col("x_end") - F.col("x_start")).alias("pixels"))
+    got = label_maps.cleaned_sizes(boxes, SIDE, INSET).select("image_id", "label", "pixels")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    edge = spark.createDataFrame([(1, -9, -9, 0, 0, False), (2, 0, 0, 16, 16, False), (3, 3, 3, 4, 4, False)], "image_id long, x0 long, y0 long, x1 long, y1 long, has_hole boolean")
+    assert sorted(map(tuple, label_maps.cleaned_sizes(edge, 16, 6).collect())) == [(2, 1, 256), (3, 0, 256)]
+
+
+def test_outline_scores_are_those_of_merged_runs(spark, sf_dir):
+    gt, pred = (leaned(polygons(b), 0.25) for b in (gt_boxes(spark, sf_dir), pred_boxes(spark, sf_dir).where("image_id % 9 <> 0")))
+    masks = [merged_runs(tracing.outline_runs(df, 5.0, SIDE), "image_id", "y") for df in (gt, pred)]
+    want = tracing.mask_scores(*masks, gt.select("image_id"), SIDE)
+    step, tracing.DRAWN = tracing.DRAWN, SIDE * 3  # a few polygons at once
+    try:
+        got = sorted(map(tuple, tracing.outline_scores(gt, pred, 5.0, SIDE).collect()))
+    finally:
+        tracing.DRAWN = step
+    assert got == sorted(map(tuple, want.collect()))
