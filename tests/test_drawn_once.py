@@ -1,12 +1,16 @@
 """Queries over cells shuffle boxes, not cells, and give what plain loops give."""
 
 import random
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from annulus import registry
-from annulus.operators import drawing, label_maps, tracing
+from annulus.operators import box_fusion, drawing, label_maps, tracing
+from annulus.operators.shared import shared_folder
+from annulus.plans import exports
 from annulus.plans.masks import merged_runs
 from annulus.plans.polygons import leaned
 from annulus.sources.boxes import INSET, SIDE, gt_boxes, polygons, pred_boxes
@@ -69,3 +73,38 @@ def test_outline_scores_are_those_of_merged_runs(spark, sf_dir):
     finally:
         tracing.DRAWN = step
     assert got == sorted(map(tuple, want.collect()))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_round_trips_draw_in_the_image_and_modes_share_their_clusters(spark, sf_dir):
+    assert "Generate" not in plan_of(registry.QUERIES["mask_round_trip"](spark, sf_dir))
+    assert plan_of(registry.QUERIES["fused_model_boxes"](spark, sf_dir)).count("Relation") == 2  # boxes and their near copies
+
+
+def test_points_are_made_behind_the_joins_of_their_boxes(spark, sf_dir):
+    plan = plan_of(registry.QUERIES["hausdorff_of_matches"](spark, sf_dir))
+    assert "flatten" not in plan[plan.index("Join") :]
+
+
+def test_cycles_leave_only_their_last_labels(spark):
+    folder = Path(shared_folder(spark))
+    before = set(folder.glob("cycles-*"))
+    found = exports.cycles_of(spark.createDataFrame([(i, i - i % 7 + (i + 3) % 7) for i in range(70)], "node long, next long"))
+    assert sorted(map(tuple, found.collect())) == [(i, i - i % 7) for i in range(70)]
+    (made,) = set(folder.glob("cycles-*")) - before
+    assert len(list(made.iterdir())) == 1
+
+
+def test_few_boxes_are_clustered_as_many(monkeypatch):
+    draw = np.random.default_rng(7)
+    for _ in range(200):
+        low = draw.integers(0, 12, (draw.integers(1, 30), 2)).astype(float)
+        boxes, score = np.concatenate([low, low + draw.integers(1, 9, low.shape)], axis=1), np.sort(draw.integers(0, 5, len(low)) / 5)[::-1]
+        few = box_fusion.clusters(boxes, score, 0.4)
+        monkeypatch.setattr(box_fusion, "FEW", 0)
+        many = box_fusion.clusters(boxes, score, 0.4)
+        monkeypatch.undo()
+        assert np.array_equal(few[0], many[0]) and np.array_equal(few[1], many[1])
