@@ -107,3 +107,14 @@ def test_groups_keep_their_last_labels_alone(spark):
     found = rounds.groups_of(spark.createDataFrame(chain, "ann_id long, pred_id long")).collect()
     assert {(x.ann_id, x.group) for x in found} == {(i, 0) for i in range(60)} | {(100, 100)} and len(found) == len(chain)
     assert len(tables() - before) == 1
+
+
+def test_assignment_in_the_image_is_that_by_rounds(spark, monkeypatch):
+    draw = random.Random(11)
+    ids = {(image, a, p): draw.choice([0.25, 0.5, 0.75, draw.random()]) + 0.01 for image in range(40) for a in range(9) for p in range(9) if draw.random() < 0.15}
+    pairs = spark.createDataFrame([(image, image * 100 + a, image * 100 + p, iou) for (image, a, p), iou in ids.items()], "image_id long, ann_id long, pred_id long, iou double")
+    want = sorted(map(tuple, rounds.optimal_match(pairs.drop("image_id")).collect()))
+    assert "waits" in rounds.optimal_match(pairs)._jdf.queryExecution().analyzed().toString()
+    assert sorted(map(tuple, rounds.optimal_match(pairs).collect())) == want
+    monkeypatch.setattr(rounds, "HELD", 10)  # images of more pairs go through rounds
+    assert sorted(map(tuple, rounds.optimal_match(pairs).collect())) == want
